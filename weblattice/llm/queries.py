@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblattice.llm.distinctive import distinctive_terms
+from weblattice.llm.furniture import furniture_lines, main_text
+from weblattice.llm.language import language_cases, page_languages
 from weblattice.llm.topn import top_n
 from weblattice.session import load
 
@@ -30,8 +32,25 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select(F.col("id").alias("page_id"), "term", "tf", "df", "cf", F.round("score", 9).alias("score"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return furniture_lines(load(spark, sf_dir, "pages"), load(spark, sf_dir, "link_observations"))
+
+
+def p5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(load(spark, sf_dir, "pages"), load(spark, sf_dir, "link_observations"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_cases(load(spark, sf_dir, "pages"), load(spark, sf_dir, "link_observations"))
+
+
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_languages(load(spark, sf_dir, "pages"), load(spark, sf_dir, "link_observations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_scores": p3_scores,
+    "p5_found": p5_found, "p5_main_text": p5_main_text, "p6_found": p6_found, "p6_languages": p6_languages,
 }
 
 _TOP = """

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from weblattice.llm.distinctive import distinctive_terms
 from weblattice.llm.furniture import furniture_lines, main_text
 from weblattice.llm.language import language_cases, page_languages
+from weblattice.llm.leakage import leaked_items
+from weblattice.llm.packing import pack_documents
+from weblattice.llm.repeats import repeated_blocks, repeated_lines, without_repeats
+from weblattice.llm.residue import residue, without_residue
 from weblattice.llm.topn import top_n
 from weblattice.session import load
 
@@ -48,9 +52,39 @@ def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_languages(load(spark, sf_dir, "pages"), load(spark, sf_dir, "link_observations"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(load(spark, sf_dir, "pages"))
+
+
+def p7_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_blocks(load(spark, sf_dir, "pages"))
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(load(spark, sf_dir, "pages"))
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(load(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(load(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_residue(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_scores": p3_scores,
     "p5_found": p5_found, "p5_main_text": p5_main_text, "p6_found": p6_found, "p6_languages": p6_languages,
+    "p7_found": p7_found, "p7_blocks": p7_blocks, "p7_cleaned": p7_cleaned, "p8_packed": p8_packed, "p9_found": p9_found,
+    "p10_found": p10_found, "p10_kept": p10_kept,
 }
 
 _TOP = """
@@ -71,7 +105,28 @@ l AS (SELECT id, sum(tf) AS len FROM c GROUP BY id),
 t AS (SELECT sum(cf) AS total FROM s)
 """
 
+_LINES = r"""
+WITH l AS (
+  SELECT id, run_id, 'body_text' AS field, generate_subscripts(string_split(body_text, chr(10)), 1) AS pos, unnest(string_split(body_text, chr(10))) AS line
+  FROM pages WHERE body_text IS NOT NULL
+  UNION ALL
+  SELECT id, run_id, 'paragraphs', generate_subscripts(paragraphs, 1), unnest(paragraphs) FROM pages WHERE len(paragraphs) > 0),
+k AS (SELECT id, run_id, field, pos, regexp_replace(lower(upper(nfc_normalize(line))), '[^\pL]', '', 'g') AS key FROM l WHERE line IS NOT NULL),
+often AS (SELECT run_id, key FROM k WHERE key != '' GROUP BY run_id, key HAVING count(DISTINCT id) >= 8)
+SELECT id AS page_id, field, pos::INTEGER AS pos FROM k SEMI JOIN often USING (run_id, key)
+"""
+
+_LEAKS = r"""
+WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(nfc_normalize(text)), '[\pL\pN]+'), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\pL\pN]+') AS w FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS s FROM b WHERE len(w) >= 12),
+g AS (SELECT item_id, ' ' || array_to_string(w[s:s+11], ' ') || ' ' AS passage FROM p)
+SELECT DISTINCT doc_id, item_id FROM d JOIN g ON contains(d.t, g.passage)
+"""
+
 ORACLES: dict[str, str] = {
+    "p7_found": _LINES,
+    "p9_found": _LEAKS,
     "p1_found": _TOP.format(columns="target, donor"),
     "p1_ranked": _TOP.format(columns="target, donor, s_score, rank::INTEGER AS rank"),
     "p3_found": _TERMS + "SELECT c.id AS page_id, c.term FROM c JOIN s USING (term) WHERE tf >= 4 AND df BETWEEN 2 AND 12",

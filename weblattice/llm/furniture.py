@@ -30,12 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weblattice.session import checkpointed
+
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Words with a capital letter of the Latin, Greek or Cyrillic script.
+CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]*")
 #: A day, a month's name and a year.
 DATE = re.compile(r"\b\d{1,2}(?:\.|st|nd|rd|th)?\s+(?:de\s+)?[^\W\d_]{3,}\.?\s+(?:de\s+)?\d{4}\b")
 #: Signs between the entries of a menu or a trail of crumbs.
 SEPARATORS = re.compile(r"\s*[|·»›/>•–—→⇒▸∙⋅~]\s*|\t+")
-ENDING = re.compile(r"[\s…*→»«\"”’)\]]+$")
+#: Ornaments after a line's end.
+ORNAMENTS = " \t\r\xa0…*→»«\"”’)]"
+DIGIT = re.compile(r"\d")
 CODE = re.compile(r"^\s*(?:[$#>]\s|[a-z]+ -{1,2}\w|[<{}\[\]]|\w+\(|\w+\s*=)")
 #: A line of at most so many letters may be a template of names and dates.
 MIN_HOSTS = 3
@@ -70,20 +76,35 @@ def plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
-def template(line: str, brand: str) -> tuple[list[str], bool, bool]:
-    """The words of a line's template, whether the site's name stands in it, whether it is all capitals."""
-    if any(c.isdigit() for c in line):
-        line = DATE.sub(" ", line)
-    found = LETTERS.findall(line)
-    capitals = len(found) > 1 and line.upper() == line and line.lower() != line
-    branded, out = False, []
-    for i, w in enumerate(found):
-        low = w.lower()
-        if brand and plain(low) == brand:
-            branded = True
-        elif capitals or i == 0 or not w[0].isupper():
-            out.append(low)
-    return out, branded, capitals
+def template(line: str, found: list[str], brand: str) -> tuple[list[str], bool, bool]:
+    """The words of a line's template, whether the site's name stands in it, whether it is all capitals.
+
+    ``found`` are the line's runs of letters.
+    """
+    if DIGIT.search(line) and DATE.search(line):
+        found = LETTERS.findall(DATE.sub(" ", line))
+    if len(found) > 1 and line.isupper():
+        low = [w.lower() for w in found]
+        out = [w for w in low if not named(w, brand)]
+        return out, len(out) < len(low), True
+    # All words but names begin with a small letter, or stand first.
+    names = CAPITAL.findall(line)
+    out, branded = found, False
+    if names:
+        out = [w for w in found if w not in names]
+        first = found[0] not in out
+        low = [w.lower() for w in names]
+        branded = bool(brand) and any(named(w, brand) for w in low)
+        if first and not named(found[0].lower(), brand):
+            out.insert(0, found[0].lower())
+    if brand and brand in out:
+        branded, out = True, [w for w in out if w != brand]
+    return out, branded, False
+
+
+def named(word: str, brand: str) -> bool:
+    """Whether a word in lower case is the site's name."""
+    return word == brand or (len(word) == len(brand) and not word.isascii() and plain(word) == brand)
 
 
 def digest(words: list[str], capitals: bool = False) -> int:
@@ -92,9 +113,11 @@ def digest(words: list[str], capitals: bool = False) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+ENDS = frozenset(".!?:;")
+
+
 def _prose(line: str, words: list[str]) -> bool:
-    end = ENDING.sub("", line)
-    return len(words) >= 4 and end[-1:] in ".!?:;"
+    return len(words) >= 4 and line.rstrip(ORNAMENTS)[-1:] in ENDS
 
 
 def page_lines(text: str) -> list[str]:
@@ -115,6 +138,11 @@ def _arrow(fn: Callable, schema: pa.Schema):
     return run
 
 
+#: Lines a worker remembers; a bound on memory only.
+MEMORY = 20_000
+_memory: dict = {}
+
+
 def _votes(rows) -> list[list]:
     """(run_id, key, label, prose, branded, outer) once per page and template.
 
@@ -128,9 +156,10 @@ def _votes(rows) -> list[list]:
         running: list[list] = []
         last = None
         for line in page_lines(text):
-            key = letters(line)
-            if not key:
+            found = LETTERS.findall(line)
+            if not found:
                 continue
+            key = "".join(found).lower()
             if key in side:
                 if last is not None:
                     last[0] = 1
@@ -139,11 +168,17 @@ def _votes(rows) -> list[list]:
             last = None
             if key in own:
                 continue
-            words, branded, capitals = template(line, brand)
-            if not words:
+            memo = _memory.get((brand, line))
+            if memo is None:
+                words, branded, capitals = template(line, found, brand)
+                memo = (digest(words, capitals) if words else None, branded, _prose(line, words))
+                if len(_memory) >= MEMORY:
+                    _memory.clear()
+                _memory[brand, line] = memo
+            k, branded, prose = memo
+            if k is None:
                 continue
-            mark = seen.setdefault(digest(words, capitals), [0, 0, 0, 0])
-            prose = _prose(line, words)
+            mark = seen.setdefault(k, [0, 0, 0, 0])
             mark[1] |= prose
             mark[2] |= branded
             last = mark
@@ -198,9 +233,12 @@ def host_profiles(pages: DataFrame, links: DataFrame) -> DataFrame:
     sized = pages.where("body_text is not null").groupBy("run_id").agg(F.count(F.lit(1)).alias("pages"))
     slim = _with_links(pages, links).select("run_id", "url", "body_text", "title", "h1", "headings", "aside")
     ballots = slim.mapInArrow(_arrow(_votes, _VOTES), "run_id long, k long, label int, prose int, branded int, outer int")
-    local = ballots.groupBy("run_id", "k").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("label"), F.avg("prose").alias("prose"), F.max("branded").alias("branded"), F.sum("outer").alias("outer"),
-    ).join(sized, "run_id")
+    tallies = ballots.groupBy("run_id", "k").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("label"), (F.avg("prose") > 0.5).alias("prose"), F.max("branded").alias("branded"),
+        F.sum("outer").alias("outer"),
+    )
+    # Read three times below; the ballots cost a pass over all texts in Python, so they are cast once.
+    local = checkpointed(tallies).join(sized, "run_id")
     over_hosts = (
         local.groupBy("k").agg(
             F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("g_n"), F.sum("pages").alias("g_pages"), F.max("n").alias("g_max"),
@@ -213,7 +251,7 @@ def host_profiles(pages: DataFrame, links: DataFrame) -> DataFrame:
     often = F.coalesce((F.col("g_max") >= PROSE_PAGES) & (F.col("g_n") / F.col("g_pages") >= PROSE_SHARE), F.lit(False))
     outside = F.coalesce((F.col("g_n") >= OUTER_PAGES) & (F.col("g_outer") / F.col("g_n") >= OUTER_SHARE), F.lit(False))
     here = (n >= LOCAL_PAGES) & (share >= LOCAL_SHARE)
-    prose = F.col("prose") > 0.5
+    prose = F.col("prose")
     won = (
         F.when(~prose, wide | here)
         .when(F.col("branded") == 1, wide | ((n > LOCAL_PAGES) & (share >= 0.2)))
@@ -245,20 +283,41 @@ def host_profiles(pages: DataFrame, links: DataFrame) -> DataFrame:
     return own.join(F.broadcast(labels_all)).join(F.broadcast(wins_all)).select(
         "run_id", F.array_union(_list("labels"), F.col("labels_all")).alias("labels"),
         F.array_union(_list("wins", "bigint"), F.col("wins_all")).alias("wins"), "heads",
-    )
+    ).withColumn("stamp", F.xxhash64("labels", "wins", "heads"))
 
 
 def _list(name: str, kind: str = "string"):
     return F.coalesce(F.col(name), F.array().cast(f"array<{kind}>"))
 
 
+#: Verdicts on a line: content, furniture, start of a side list, menu, crumbs if the page's title fits.
+OTHER, WON, HEAD, MENU, CRUMBS = range(5)
+
+
+class _Starts:
+    """Whether some label begins with a word."""
+
+    def __init__(self, labels):
+        self.labels, self.seen = labels, {}
+
+    def __contains__(self, word: str) -> bool:
+        hit = self.seen.get(word)
+        if hit is None:
+            if len(self.seen) >= MEMORY:
+                self.seen.clear()
+            hit = self.seen[word] = any(x.startswith(word) for x in self.labels)
+        return hit
+
+
 class Profile:
     """A host's winning paths, ready to cut its pages."""
 
-    __slots__ = ("heads", "labels", "menu", "wins")
+    __slots__ = ("heads", "labels", "memory", "menu", "starts", "wins")
 
     def __init__(self, labels, wins, heads):
         self.labels, self.wins, self.heads = frozenset(labels or ()), frozenset(wins or ()), frozenset(heads or ())
+        self.memory: dict = {}
+        self.starts = _Starts(self.labels)
         alternatives = "|".join(map(re.escape, sorted(self.labels, key=lambda x: (-len(x), x))))
         self.menu = re.compile(f"(?:{alternatives})+") if alternatives else None
 
@@ -284,32 +343,49 @@ class Profile:
         out = [False] * len(lines)
         items = 0  # how many more lines may belong to an open side list
         for i, line in enumerate(lines):
-            key = letters(line)
-            if not key:
+            found = LETTERS.findall(line)
+            if not found:
                 continue
+            key = "".join(found).lower()
             if key in own:
                 items = 0
                 continue
             if key in side:
                 out[i], items = True, max(items - 1, 0)
                 continue
-            if key in self.labels or (self.menu is not None and len(key) < 400 and self.menu.fullmatch(key)) or self._crumbs(line, own):
-                out[i], items = True, 0
-                continue
-            words, branded, capitals = template(line, brand)
-            if "©" in line and len(words) <= 12:
+            verdict = self.memory.get((brand, line))
+            if verdict is None:
+                verdict = self._verdict(line, found, key, brand)
+                if len(self.memory) >= MEMORY:
+                    self.memory.clear()
+                self.memory[brand, line] = verdict
+            if verdict == CRUMBS:
+                verdict = MENU if self._crumbs(line, own) else self._by_template(line, found, brand)
+            if verdict == MENU:
                 out[i], items = True, 0
-                continue
-            k = self.known(words, capitals) if words else None
-            if k is not None:
+            elif verdict:
                 out[i] = True
-                items = MAX_ITEMS if k in self.heads else items
-            elif items and ENDING.sub("", line)[-1:] not in ".!?:;" and not CODE.match(line) and len(LETTERS.findall(line)) > 2:
+                items = MAX_ITEMS if verdict == HEAD else items
+            elif items and line.rstrip(ORNAMENTS)[-1:] not in ENDS and len(found) > 2 and not CODE.match(line):
                 out[i], items = True, items - 1
             else:
                 items = 0
         return out
 
+    def _verdict(self, line: str, found: list[str], key: str, brand: str) -> int:
+        if key in self.labels or (self.menu is not None and len(key) < 400 and self.menu.fullmatch(key)):
+            return MENU
+        if found[0].lower() in self.starts and SEPARATORS.search(line):
+            return CRUMBS  # depends on the page's title
+        return self._by_template(line, found, brand)
+
+    def _by_template(self, line: str, found: list[str], brand: str) -> int:
+        words, _, capitals = template(line, found, brand)
+        if "©" in line and len(words) <= 12:
+            return MENU
+        k = self.known(words, capitals) if words else None
+        return OTHER if k is None else HEAD if k in self.heads else WON
+
     def _crumbs(self, line: str, own: set[str]) -> bool:
         parts = [letters(p) for p in SEPARATORS.split(line)]
         parts = [p for p in parts if p]
@@ -323,14 +399,23 @@ class Profile:
 _profiles: dict = {}
 
 
-def profile_of(run_id, labels, wins, heads) -> Profile:
-    """Profiles of the hosts met last; rows of a host come together."""
-    key = (run_id, len(labels or ()), len(wins or ()), (wins or (0,))[0], (labels or ("",))[0])
-    if key not in _profiles:
-        if len(_profiles) >= 256:
-            _profiles.clear()
-        _profiles[key] = Profile(labels, wins, heads)
-    return _profiles[key]
+def cut_pages(batch: pa.RecordBatch) -> Iterator[tuple[tuple, list[str], list[bool]]]:
+    """((id, body_text), lines, furniture or not) of each row of a batch of :func:`profiled_pages`.
+
+    The lists of a host are read from Arrow once and remembered by their stamp.
+    """
+    names = ("id", "run_id", "url", "body_text", "title", "h1", "headings", "aside", "stamp")
+    lists = [batch.column(n) for n in ("labels", "wins", "heads")]
+    for i, (key, run_id, url, text, title, h1, headings, aside, stamp) in enumerate(zip(*[batch.column(n).to_pylist() for n in names])):
+        profile = _profiles.get((run_id, stamp))
+        if profile is None:
+            if len(_profiles) >= 64:
+                _profiles.clear()
+            profile = _profiles[run_id, stamp] = Profile(*[c[i].as_py() for c in lists])
+        lines = page_lines(text)
+        own = _own(title, h1, headings)
+        side = {letters(unicodedata.normalize("NFC", a)) for a in aside if a} - own - {""} if aside else frozenset()
+        yield (key, text), lines, profile.cut(lines, brand_of(url), own, side)
 
 
 def profiled_pages(pages: DataFrame, links: DataFrame, salts: int = 16) -> DataFrame:
@@ -338,40 +423,37 @@ def profiled_pages(pages: DataFrame, links: DataFrame, salts: int = 16) -> DataF
     profiles = host_profiles(pages, links).withColumnRenamed("run_id", "_r").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = _with_links(pages, links).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     joined = rows.join(profiles, rows["run_id"].eqNullSafe(profiles["_r"]) & (rows["_salt"] == profiles["_s"]), "left")
-    return joined.select("id", "run_id", "url", "body_text", "title", "h1", "headings", "aside", "labels", "wins", "heads")
+    return joined.select("id", "run_id", "url", "body_text", "title", "h1", "headings", "aside", "labels", "wins", "heads", "stamp")
+
 
+def _map_pages(fn: Callable, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(fn(cut_pages(b)), schema)], schema=schema)
 
-def cut_page(row: tuple) -> tuple[list[str], list[bool]]:
-    """(lines, furniture or not) of a row of :func:`profiled_pages`."""
-    _, run_id, url, text, title, h1, headings, aside, labels, wins, heads = row
-    lines = page_lines(text)
-    side = {letters(unicodedata.normalize("NFC", a)) for a in (aside or ()) if a} - {""}
-    own = _own(title, h1, headings)
-    return lines, profile_of(run_id, labels, wins, heads).cut(lines, brand_of(url), own, side - own)
+    return run
 
 
-def _found(rows) -> list[list]:
+def _found(pages) -> list[list]:
     ids, numbers = [], []
-    for row in rows:
-        for n, bad in enumerate(cut_page(row)[1], 1):
-            if bad:
-                ids.append(row[0])
-                numbers.append(n)
+    for (key, _), _, bad in pages:
+        mine = [n for n, b in enumerate(bad, 1) if b]
+        numbers += mine
+        ids += [key] * len(mine)
     return [ids, numbers]
 
 
 def furniture_lines(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(page_id, line_no) of each line that is not the page's own content."""
     schema = pa.schema([("page_id", pa.int64()), ("line_no", pa.int32())])
-    return profiled_pages(pages, links).mapInArrow(_arrow(_found, schema), "page_id long, line_no int")
+    return profiled_pages(pages, links).mapInArrow(_map_pages(_found, schema), "page_id long, line_no int")
 
 
-def _cleaned(rows) -> list[list]:
+def _cleaned(pages) -> list[list]:
     out: list[list] = [[], [], []]
-    for row in rows:
-        lines, bad = cut_page(row)
-        raw = row[3].split("\n")
-        out[0].append(row[0])
+    for (key, text), lines, bad in pages:
+        raw = text.split("\n")
+        out[0].append(key)
         out[1].append("\n".join(line for line, b in zip(raw if len(raw) == len(lines) else lines, bad) if not b))
         out[2].append(sum(bad))
     return out
@@ -380,4 +462,4 @@ def _cleaned(rows) -> list[list]:
 def main_text(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(page_id, main_text, removed_lines) of each page with a text."""
     schema = pa.schema([("page_id", pa.int64()), ("main_text", pa.string()), ("removed_lines", pa.int32())])
-    return profiled_pages(pages, links).mapInArrow(_arrow(_cleaned, schema), "page_id long, main_text string, removed_lines int")
+    return profiled_pages(pages, links).mapInArrow(_map_pages(_cleaned, schema), "page_id long, main_text string, removed_lines int")

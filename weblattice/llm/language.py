@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblattice.llm.furniture import CODE, cut_page, page_lines, profiled_pages
+from weblattice.llm.furniture import CODE, cut_pages, page_lines, profiled_pages
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
@@ -147,7 +147,7 @@ class Model:
 
 
 def spell(line: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(line)]
+    return WORD.findall(line.lower())
 
 
 #: A word counts as a label's own if it has this share of its highest frequency under any label; first fit, second fit.
@@ -252,11 +252,13 @@ def judge(lines: list[list[str]], scores: np.ndarray) -> tuple[int, list[int], n
     return main, each.tolist(), lead
 
 
-def _own_lines(row: tuple) -> tuple[list[int], list[list[str]]]:
-    lines, bad = cut_page(row)
+SLUG = re.compile(r"\S*/\S+-\S+")
+
+
+def _own_lines(lines: list[str], bad: list[bool]) -> tuple[list[int], list[list[str]]]:
     numbers, words = [], []
     for n, (line, b) in enumerate(zip(lines, bad), 1):
-        if b or CODE.match(line) or "/" in line and re.search(r"\S*/\S+-\S+", line):
+        if b or CODE.match(line) or ("/" in line and SLUG.search(line)):
             continue
         s = spell(line)
         if s:
@@ -282,8 +284,10 @@ def page_languages(pages: DataFrame, links: DataFrame, sample: Sample = Sample()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             if model is not None:
-                rows = list(zip(*[b.column(x).to_pylist() for x in b.schema.names]))
-                own = [_own_lines(r) for r in rows]
+                rows, own = [], []
+                for (key, _), lines, bad in cut_pages(b):
+                    rows.append(key)
+                    own.append(_own_lines(lines, bad))
                 scores = model.scores([w for _, words in own for w in words])
                 at = 0
                 for r, (numbers, words) in zip(rows, own):
@@ -297,7 +301,7 @@ def page_languages(pages: DataFrame, links: DataFrame, sample: Sample = Sample()
                     two = np.sort(total)[:2]
                     sure = 1.0 if len(two) < 2 else float(1 - two[0] / max(two[1], 1e-9))
                     other = [(n, e, s, sum(map(len, w))) for n, e, s, w in zip(numbers, each, lead, words) if e != main]
-                    for x in ((r[0], 0, model.languages[main], sure, sum(o[3] for o in other)), *((r[0], n, model.languages[e], float(s), c) for n, e, s, c in other)):
+                    for x in ((r, 0, model.languages[main], sure, sum(o[3] for o in other)), *((r, n, model.languages[e], float(s), c) for n, e, s, c in other)):
                         for col, v in zip(out, x):
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)

@@ -1,0 +1,26 @@
+"""Residue: every text reaches the grammars."""
+
+from __future__ import annotations
+
+import pytest
+
+from weblattice.llm.residue import residue, without_residue
+from weblattice.session import local_session
+
+SERVED = [
+    "The page does not exist.", "This page is gone.", "Rate limit exceeded", "Please sign in to continue", "Verify you are human", "Slow down",
+    "Servicio no disponible", "Servizio non disponibile", "La pagina non esiste", "Accès interdit", "Page inexistante",
+    "The quick brown fox jumps over the lazy dog.", "Content to follow",
+]
+CONTENT = ["Links between sections help readers.", "Ein Absatz über Verweise.", "", None]
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return local_session(2)
+
+
+def test_residue_without_common_trigger_words_is_found(spark):
+    docs = spark.createDataFrame(list(enumerate(SERVED + CONTENT)), "doc_id long, text string")
+    assert {r.doc_id for r in residue(docs).collect()} == set(range(len(SERVED)))
+    assert {r.doc_id for r in without_residue(docs).collect()} == set(range(len(SERVED), len(SERVED) + len(CONTENT)))

@@ -1,21 +1,22 @@
 """Language of documents and of lines by cross-parsing entropy.
 
-For each language a suffix automaton holds labelled text. A text is parsed
-against it from left to right into phrases, each the longest piece that stands
-in the labelled text; with c phrases against n labelled characters, c·log2(n)
-over the text's length estimates its entropy under that language. The language
-with the least wins. Phrases end at word ends, so a text's count is the sum of
-its words' counts: each distinct word is parsed once per worker and language,
-and a line costs a look-up per word.
-
-The labelled text is a bounded sample (:class:`Sample`), fitted twice: labels
-are noisy, so the second fit keeps only the lines that the first one assigns to
-their label. Everything else covers all rows and whole texts.
+For each language a suffix automaton holds labelled running text: whole lines,
+their words in lower case and parted by blanks. A line is parsed against it
+from left to right into phrases, each the longest piece that stands in the
+labelled text, over word ends too; with c phrases against n labelled
+characters, c·log2(n) estimates the line's bits under that language. The
+language with the least wins. A page's count is the sum of its lines' counts.
+Many lines walk the automata of all languages at once, in NumPy.
+
+The labelled text is a bounded sample (:class:`Sample`). Labels are noisy, so
+the automata take only the lines that a first fit assigns to their label. The
+first fit must not know the lines themselves, else each would be found whole
+under its label; it parses single words against each label's most frequent
+ones. Everything else covers all rows and whole texts.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -53,10 +54,11 @@ def named_language(label: str | None) -> str | None:
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of the labelled sample: rows and characters of distinct words per language."""
+    """Bounds of the labelled sample per language: rows, characters of the first fit's distinct words and of running text."""
 
     rows: int = 300
     chars: int = 24_000
+    running: int = 40_000
     least_rows: int = 3
 
 
@@ -106,71 +108,114 @@ class Automaton:
         return n
 
 
-#: Words a worker remembers before it starts anew; a bound on memory only, forgotten words are parsed again.
-MEMORY = 200_000
+#: Lines that walk the automata at once.
+ABREAST = 4096
 
 
 class Model:
-    """The automata of several languages and the memory of parsed words."""
-
-    def __init__(self, vocabulary: dict[str, list[str]]):
-        self.languages = sorted(vocabulary)
-        self.automata = [Automaton(" " + " ".join(vocabulary[x]) + " ") for x in self.languages]
-        self.bits = [math.log2(a.size) for a in self.automata]
-        self.known: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.languages)))
-
-    def _learn(self, w: str) -> int:
-        i = self.known.setdefault(w, len(self.known))
-        if i >= len(self.table):
-            self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        spelt = f" {w} "
-        self.table[i] = [a.phrases(spelt) * b for a, b in zip(self.automata, self.bits)]
-        return i
+    """The automata of several languages in one table of transitions.
 
-    def scores(self, texts: list[list[str]]) -> np.ndarray:
-        """Bits per text (rows) and language (columns)."""
-        out = np.zeros((len(texts), len(self.languages)))
-        flat = [w for t in texts for w in t]
-        if not flat:
-            return out
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        known, learn = self.known, self._learn
-        ids = [known[w] if w in known else learn(w) for w in flat]
-        per_word = self.table[ids]
-        lengths = np.array([len(t) for t in texts])
-        full = np.flatnonzero(lengths)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        out[full] = np.add.reduceat(per_word, starts[full], axis=0)
+    ``texts`` has the labelled pieces per language: lines, or single words.
+    """
+
+    def __init__(self, texts: dict[str, list[str]]):
+        self.languages = sorted(texts)
+        signs = sorted({c for pieces in texts.values() for t in pieces for c in t} | {" "})
+        self.width = len(signs) + 1
+        self.code = np.zeros(0x110000, np.uint16)
+        self.code[[ord(c) for c in signs]] = np.arange(1, self.width)
+        code, tables, roots, sizes, at = {c: i for i, c in enumerate(signs, 1)}, [np.zeros(self.width, np.int32)], [], [], self.width
+        for x in self.languages:
+            a = Automaton(" " + " ".join(texts[x]) + " ")
+            counts = np.fromiter(map(len, a.go), np.int64, len(a.go))
+            table = np.zeros(len(a.go) * self.width, np.int32)
+            signs_of = np.fromiter((code[c] for g in a.go for c in g), np.int64, counts.sum())
+            table[np.repeat(np.arange(len(a.go)), counts) * self.width + signs_of] = np.fromiter((at + to * self.width for g in a.go for to in g.values()), np.int64, counts.sum())
+            roots.append(at)
+            sizes.append(a.size)
+            tables.append(table)
+            at += len(table)
+        self.go = np.concatenate(tables)
+        self.root = np.array(roots, np.int32)[:, None]
+        first = self.go[self.root + np.arange(self.width)] if roots else np.zeros((0, self.width), np.int32)
+        self.first = np.where(first == 0, self.root, first) if roots else first
+        self.bits = np.log2(np.array(sizes, float))
+
+    def phrases(self, lines: list[str]) -> np.ndarray:
+        """Phrases per line (rows) and language (columns), as :meth:`Automaton.phrases` counts them."""
+        out = np.zeros((len(lines), len(self.languages)), np.int64)
+        order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
+        for k in range(0, len(order), ABREAST):
+            own = order[k : k + ABREAST]
+            lengths = np.array([len(lines[i]) for i in own])
+            text = np.frombuffer("".join(lines[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32)
+            codes = self.code[text]
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            # Lines stand longest first, so those still running are the first so many.
+            running = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")
+            state = np.repeat(self.root, len(own), axis=1)
+            n = np.zeros((len(self.languages), len(own)), np.int32)
+            for j, m in enumerate(running.tolist()):
+                c = codes[starts[:m] + j]
+                now = state[:, :m]
+                to = self.go[now + c]
+                ended = to == 0
+                n[:, :m] += ended | (now == self.root)
+                state[:, :m] = np.where(ended, self.first[:, c], to)
+            out[own] = n.T
         return out
 
+    def scores(self, texts: list[list[str]]) -> np.ndarray:
+        """Bits per text (rows) and language (columns); equal texts are parsed once."""
+        seen: dict[str, int] = {}
+        at = [seen.setdefault(f" {' '.join(t)} " if t else "", len(seen)) for t in texts]
+        return (self.phrases(list(seen)) * self.bits)[at] if at else np.zeros((0, len(self.languages)))
+
+    def word_scores(self, texts: list[list[str]]) -> np.ndarray:
+        """As :meth:`scores`, with each word parsed alone."""
+        words = sorted({w for t in texts for w in t})
+        place = {w: i for i, w in enumerate(words)}
+        bits = self.phrases([f" {w} " for w in words]) * self.bits
+        return np.array([bits[[place[w] for w in t]].sum(axis=0) for t in texts]).reshape(len(texts), len(self.languages))
+
 
 def spell(line: str) -> list[str]:
     return WORD.findall(line.lower())
 
 
-#: A word counts as a label's own if it has this share of its highest frequency under any label; first fit, second fit.
-PURITY = 0.5, 0.2
+#: A word counts as a label's own in the first fit if it has this share of its highest frequency under any label.
+PURITY = 0.5
 
 
 def fit(rows: list[tuple[str, str]], sample: Sample = Sample()) -> dict[str, list[str]]:
-    """Vocabulary per language from (label, text) rows, fitted twice."""
+    """Labelled lines per language from (label, text) rows, less those that the first fit gives to another label."""
     by: dict[str, list[list[str]]] = {}
     for code, text in rows:
         lines = by.setdefault(code, [])
         lines += [s for s in map(spell, page_lines(text)) if len(s) >= 4]
     counts = Counter(code for code, _ in rows)
     by = {k: v for k, v in by.items() if counts[k] >= sample.least_rows and v}
-    first = _vocabulary(by, sample, PURITY[0])
-    if len(first) < 2:
-        return first
-    model = Model(first)
-    kept = {}
-    for code, lines in by.items():
-        best = model.scores(lines).argmin(axis=1)
-        kept[code] = [s for s, b in zip(lines, best) if model.languages[b] == code]
-    return _vocabulary({k: v for k, v in kept.items() if v}, sample, PURITY[1])
+    first = _vocabulary(by, sample, PURITY)
+    model = Model(first) if len(first) > 1 else None
+    out = {}
+    for code in first:
+        lines = by[code]
+        if model is not None:
+            best = model.word_scores(lines).argmin(axis=1)
+            lines = [s for s, b in zip(lines, best) if model.languages[b] == code]
+        out[code] = _running(lines, sample.running)
+    return {k: v for k, v in out.items() if v}
+
+
+def _running(lines: list[list[str]], room: int) -> list[str]:
+    """Distinct lines, in the order of the sample, as far as there is room; the last is cut to it."""
+    out = []
+    for line in dict.fromkeys(map(" ".join, lines)):
+        if room <= 0:
+            break
+        out.append(line[:room])
+        room -= len(line) + 1
+    return out
 
 
 def _vocabulary(by: dict[str, list[list[str]]], sample: Sample, purity: float) -> dict[str, list[str]]:
@@ -214,12 +259,12 @@ def fit_from(rows: DataFrame, key: str, text: str, label: str, sample: Sample =
 _models: dict[int, Model] = {}
 
 
-def model_of(vocabulary: dict[str, list[str]]) -> Model:
+def model_of(texts: dict[str, list[str]]) -> Model:
     """The worker's model, built once."""
-    key = hash(tuple((k, len(v), v[0] if v else "", v[-1] if v else "") for k, v in sorted(vocabulary.items())))
+    key = hash(tuple((k, *v) for k, v in sorted(texts.items())))
     if key not in _models:
         _models.clear()
-        _models[key] = Model(vocabulary)
+        _models[key] = Model(texts)
     return _models[key]
 
 
@@ -276,11 +321,11 @@ def page_languages(pages: DataFrame, links: DataFrame, sample: Sample = Sample()
     with a null text, or with no own words, have no row. Furniture lines, cut
     by :mod:`weblattice.llm.furniture`, don't count; nor does code.
     """
-    vocabulary = fit_from(pages, "id", "body_text", "lang", sample)
+    labelled = fit_from(pages, "id", "body_text", "lang", sample)
     schema = pa.schema([("page_id", pa.int64()), ("line_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("foreign", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(vocabulary) if vocabulary else None
+        model = model_of(labelled) if labelled else None
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             if model is not None:

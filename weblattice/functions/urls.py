@@ -14,6 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: RFC 3986, appendix B: scheme, authority, path, query, fragment.
 PARTS = r"^(?:([^:/?#]+):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -96,7 +97,7 @@ def p0_text(url: str | None) -> str | None:
     return "".join([f"{scheme}:" if scheme else "", authority or "", path, escapes(query) if query is not None else "", escapes(fragment) if fragment is not None else ""])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a name of the type would need a session where workers import this module
 def _p0_udf(urls: pd.Series) -> pd.Series:
     seen: dict = {}
     return urls.map(lambda u: None if u is None else seen[u] if u in seen else seen.setdefault(u, p0_text(u)))

@@ -107,10 +107,11 @@ def power_iteration(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray
 
 
 def _indexed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    pdf = pdf[pdf["src"] != pdf["dst"]]
+    """Names, sources, targets and weights; a self-link is no link, but names a node."""
     names, codes = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
     m = len(pdf)
-    return names, codes[:m], codes[m:], pdf["weight"].to_numpy(float)
+    link = codes[:m] != codes[m:]
+    return names, codes[:m][link], codes[m:][link], pdf["weight"].to_numpy(float)[link]
 
 
 def pagerank_per_run(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-10, max_iterations: int = 1000) -> DataFrame:

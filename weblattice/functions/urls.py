@@ -31,7 +31,7 @@ def part(url: Column, n: int) -> Column:
 
 def host(url: Column) -> Column:
     """Host in lower case, without user and port."""
-    return F.lower(F.regexp_replace(F.regexp_replace(F.substring(part(url, 2), 3, 100_000), r"^.*@", ""), r":\d*$", ""))
+    return F.lower(F.regexp_replace(part(url, 2), r"^//(?:.*@)?|:\d*$", ""))
 
 
 def is_plain(url: Column) -> Column:
@@ -62,21 +62,110 @@ def escapes(text: str) -> str:
     return re.sub(r"%([0-9A-Fa-f]{2})|.", one, text, flags=re.S)
 
 
+_LEADING_DOTS = re.compile(r"\.\.?(?:/|\Z)")
+_SEGMENT = re.compile(r"/?[^/]*")
+
+
 def dot_segments(path: str) -> str:
-    """A path without . and .. segments (RFC 3986, 5.2.4)."""
-    out: list[str] = []
-    parts = path.split("/")
-    for i, p in enumerate(parts):
-        last = i == len(parts) - 1
-        if p == "." or p == "..":
-            if p == ".." and len(out) > (1 if path.startswith("/") else 0):
-                out.pop()
-            if last:
-                out.append("")
+    """A path without . and .. segments (RFC 3986, 5.2.4).
+
+    Each round takes one segment with the slash before it; a dot segment at the
+    end leaves its slash behind.
+    """
+    kept: list[str] = []
+    at = 0
+    while at < len(path):
+        m = _LEADING_DOTS.match(path, at) if path[at] == "." else None
+        if m is not None:
+            at = m.end()
+            continue
+        m = _SEGMENT.match(path, at)
+        at = m.end()
+        name = m.group().lstrip("/") if m.group().startswith("/") else None
+        if name in (".", ".."):
+            if name == ".." and kept:
+                kept.pop()
+            if at == len(path):
+                kept.append("/")
         else:
-            out.append(p)
-    joined = "/".join(out)
-    return "/" + joined if path.startswith("/") and not joined.startswith("/") else joined
+            kept.append(m.group())
+    return "".join(kept)
+
+
+def resolve_text(base: str | None, reference: str | None) -> str | None:
+    """A reference against an absolute base (RFC 3986, 5.2.2); null where the base has no scheme.
+
+    White space of HTML around the reference is no part of it.
+    """
+    if base is None or reference is None:
+        return None
+    b_scheme, b_authority, b_path, b_query, _ = re.match(PARTS, base, re.S).groups()
+    if not b_scheme:
+        return None
+    scheme, authority, path, query, fragment = re.match(PARTS, reference.strip(" \t\n\f\r"), re.S).groups()
+    if scheme:
+        path = dot_segments(path)
+    else:
+        scheme = b_scheme
+        if authority is not None:
+            path = dot_segments(path)
+        else:
+            authority = b_authority
+            if not path:
+                path, query = b_path, b_query if query is None else query
+            elif path.startswith("/"):
+                path = dot_segments(path)
+            elif b_authority is not None and not b_path:
+                path = dot_segments("/" + path)
+            else:
+                path = dot_segments(b_path[: b_path.rfind("/") + 1] + path)
+    return "".join([scheme, ":", authority or "", path, query or "", fragment or ""])
+
+
+@F.pandas_udf(StringType())
+def _resolve_udf(base: pd.Series, reference: pd.Series) -> pd.Series:
+    return pd.Series([resolve_text(b, r) for b, r in zip(base, reference)], dtype=object)
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """The absolute form of a reference found on a page; only relative ones with dots or odd signs visit Python."""
+    r = F.regexp_replace(reference, r"^[ \t\n\f\r]+|[ \t\n\f\r]+$", "")
+    root = F.concat(part(base, 1), F.lit(":"), part(base, 2))
+    absolute = r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:[/?#]|$)") & ~r.rlike(r"/\.{1,2}(?:[/?#]|$)")
+    rooted = r.rlike(r"^/(?!/)") & ~r.rlike(r"/\.{1,2}(?:[/?#]|$)") & (part(base, 1) != "")
+    simple = F.when(absolute, r).when(rooted, F.concat(root, r))
+    return F.coalesce(simple, _resolve_udf(F.when(~(absolute | rooted), base), F.when(~(absolute | rooted), reference)))
+
+
+def in_scope(url: Column, seed: Column, subdomains: bool = False) -> Column:
+    """Whether an http(s) URL has the seed's host and port, or, with ``subdomains``, a host below the seed's without www."""
+    def place(c: Column) -> tuple[Column, Column]:
+        a = F.lower(F.regexp_replace(part(c, 2), r"^//(?:.*@)?", ""))
+        given = F.regexp_extract(a, r":(\d+)$", 1)
+        usual = F.when(F.lower(part(c, 1)) == "https", F.lit("443")).otherwise(F.lit("80"))
+        return F.regexp_replace(a, r":\d*$", ""), F.when(given == "", usual).otherwise(given)
+
+    (h, p), (sh, sp) = place(url), place(seed)
+    web = F.lower(part(url, 1)).isin("http", "https") & (h != "")
+    same = (h == sh) & (p == sp)
+    if subdomains:
+        bare = F.regexp_replace(sh, r"^www\.", "")
+        same = (p == sp) & ((h == bare) | F.endswith(h, F.concat(F.lit("."), bare)))
+    return web & same
+
+
+def path_and_query(url: Column) -> Column:
+    return F.concat(part(url, 3), part(url, 4))
+
+
+def short_url(url: Column) -> Column:
+    """Path and query for display; the root shows as a slash."""
+    return F.when(path_and_query(url) == "", F.lit("/")).otherwise(path_and_query(url))
+
+
+def is_utility(url: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether path and query match one of the patterns, ignoring case."""
+    return path_and_query(url).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
 def p0_text(url: str | None) -> str | None:
@@ -123,7 +212,7 @@ def p1_of(p0_url: Column) -> Column:
 
 def p2_of(p1_url: Column) -> Column:
     items = F.transform(
-        F.split(F.substring(part(p1_url, 4), 2, 1_000_000), "&"), lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), p.alias("p"))
+        F.split(F.regexp_replace(part(p1_url, 4), r"^\?", ""), "&"), lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), p.alias("p"))
     )
     kept = F.array_sort(F.filter(items, lambda x: (x["p"] != "") & ~F.lower(x["k"]).rlike(TRACKING)))
     query = F.array_join(F.transform(kept, lambda x: x["p"]), "&")

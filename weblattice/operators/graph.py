@@ -162,8 +162,9 @@ def strong_components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
                     members.append(u)
                     if u == v:
                         break
+                name = min(members)
                 for u in members:
-                    comp[u] = min(members)
+                    comp[u] = name
             if work:
                 p = work[-1][0]
                 low[p] = min(low[p], low[v])
@@ -211,8 +212,8 @@ def betweenness(edges: DataFrame, exact_to: int = 300, sampled: int = 100, seed:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, s, d, _ = _indexed(pdf)
         n = len(names)
-        sources = np.arange(n) if n <= exact_to else np.sort(np.random.default_rng(seed).choice(n, sampled, replace=False))
-        total = brandes(n, s, d, sources.tolist()) * (n / max(len(sources), 1))
+        sources = range(n) if n <= exact_to else seeded_sample(n, sampled, seed)
+        total = brandes(n, s, d, list(sources)) * (n / max(len(sources), 1))
         return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "node": names, "betweenness": total / max((n - 1) * (n - 2), 1)})
 
     return edges.select("run_id", "src", "dst", "weight").groupBy("run_id").applyInPandas(run, "run_id long, node string, betweenness double")
@@ -237,32 +238,108 @@ def shared_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def simulate(edges: DataFrame, candidates: DataFrame, damping: float = 0.85, tolerance: float = 1e-10) -> DataFrame:
-    """(run_id, src, dst, delta_pr, l1): what adding (or raising) one link does to its target's PageRank.
+def mulberry32(seed: int):
+    """The public 32-bit generator of that name: floats in [0, 1)."""
+    state = seed & 0xFFFFFFFF
+    while True:
+        state = (state + 0x6D2B79F5) & 0xFFFFFFFF
+        t = ((state ^ (state >> 15)) * (state | 1)) & 0xFFFFFFFF
+        t = ((t + (((t ^ (t >> 7)) * (t | 61)) & 0xFFFFFFFF)) & 0xFFFFFFFF) ^ t
+        yield ((t ^ (t >> 14)) & 0xFFFFFFFF) / 4294967296
+
+
+def seeded_sample(n: int, k: int, seed: int) -> list[int]:
+    """``k`` of ``range(n)`` without replacement, in order: the first k swaps of a Fisher-Yates shuffle."""
+    at, draw = list(range(n)), mulberry32(seed)
+    for i in range(min(k, n)):
+        j = i + int(next(draw) * (n - i))
+        at[i], at[j] = at[j], at[i]
+    return sorted(at[: min(k, n)])
+
+
+def levels(n: int, src: np.ndarray, dst: np.ndarray, seeds) -> np.ndarray:
+    """Click depth of each node, -1 where no path leads; links without weight count too."""
+    depth = np.full(n, -1, dtype=np.int64)
+    depth[list(seeds)] = 0
+    for d in range(n):
+        new = np.unique(dst[depth[src] == d])
+        new = new[depth[new] < 0]
+        if not len(new):
+            break
+        depth[new] = d + 1
+    return depth
+
+
+def raised(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, i, j, to: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The links with i -> j of weight ``to`` at least, and whether that changed anything; never lowered."""
+    here = np.flatnonzero((src == i) & (dst == j))
+    if not len(here):
+        return np.append(src, i), np.append(dst, j), np.append(weight, to), True
+    if weight[here].max() >= to:
+        return src, dst, weight, False
+    w = weight.copy()
+    w[here[0]] = to
+    return src, dst, w, True
+
+
+def _simulated(left: pd.DataFrame, right: pd.DataFrame, cols: list[str], damping: float, tolerance: float, joint: bool) -> pd.DataFrame:
+    if not len(left) or not len(right):
+        return pd.DataFrame({c: [] for c in cols})
+    run_id = left["run_id"].iloc[0]
+    names, s, d, w = _indexed(left)
+    n, place = len(names), {x: i for i, x in enumerate(names)}
+    seeds = [place[x] for x in sorted(set(left.loc[left["is_seed"].fillna(False).astype(bool), "src"])) if x in place]
+    base, _ = power_iteration(n, s, d, w, damping, tolerance)
+    before = levels(n, s, d, seeds)
+    rows = right.sort_values(["src", "dst"]).drop_duplicates(["src", "dst"])
+    steps = [(place.get(a), place.get(b), a, b) for a, b in zip(rows["src"], rows["dst"])]
+    steps = [x for x in steps if x[0] is not None and x[1] is not None and x[0] != x[1]]
+    out = []
+    if joint:
+        ns, nd, nw = s, d, w
+        for i, j, _, _ in steps:
+            ns, nd, nw, _ = raised(ns, nd, nw, i, j)
+        x, _ = power_iteration(n, ns, nd, nw, damping, tolerance, start=base)
+        after = levels(n, ns, nd, seeds)
+        for j in sorted({j for _, j, _, _ in steps}):
+            out.append((run_id, names[j], float(x[j] - base[j]), None if before[j] < 0 else int(before[j]), None if after[j] < 0 else int(after[j])))
+        return pd.DataFrame(out, columns=cols)
+    for i, j, a, b in steps:
+        ns, nd, nw, changed = raised(s, d, w, i, j)
+        if not changed:
+            out.append((run_id, a, b, 0.0, 0.0, *[None if before[j] < 0 else int(before[j])] * 2))
+            continue
+        x, _ = power_iteration(n, ns, nd, nw, damping, tolerance, start=base)
+        # A new link can only bring its target nearer by way of its source.
+        near = int(before[i]) + 1 if before[i] >= 0 and (before[j] < 0 or before[i] + 1 < before[j]) else int(before[j])
+        out.append((run_id, a, b, float(x[j] - base[j]), float(np.abs(x - base).sum()), None if before[j] < 0 else int(before[j]), None if near < 0 else near))
+    return pd.DataFrame(out, columns=cols)
+
+
+def _with_seeds(edges: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """Edges with ``is_seed``; a seed is told by a self-link without weight."""
+    out = edges.select("run_id", "src", "dst", "weight", F.lit(False).alias("is_seed"))
+    if seeds is None:
+        return out
+    return out.unionByName(seeds.select("run_id", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).cast("bigint").alias("weight"), F.lit(True).alias("is_seed")))
+
+
+def simulate(edges: DataFrame, candidates: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, tolerance: float = 1e-10, joint: bool = False) -> DataFrame:
+    """What adding (or raising to weight 1, never lowering) links does.
 
-    A run's graph and its candidates meet in one task; every simulation starts
-    from the converged base scores. A link is raised to weight 1, never lowered.
+    Alone, one row per candidate: (run_id, src, dst, delta_pr, l1, depth_before,
+    depth_after), each simulated by itself. ``joint``: all of a run's candidates
+    together, one row per target: (run_id, node, delta_pr, depth_before,
+    depth_after). Simulations start from the converged scores of the run.
+
+    A run's graph and its candidates meet in one task; a crawl's page limit
+    bounds both. Candidates whose ends are no nodes, and self-links, have no
+    row. Without ``seeds`` depths are null.
     """
+    cols = ["run_id", "node", "delta_pr", "depth_before", "depth_after"] if joint else ["run_id", "src", "dst", "delta_pr", "l1", "depth_before", "depth_after"]
+    schema = "run_id long, node string, delta_pr double, depth_before long, depth_after long" if joint else "run_id long, src string, dst string, delta_pr double, l1 double, depth_before long, depth_after long"
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = ["run_id", "src", "dst", "delta_pr", "l1"]
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in cols})
-        names, s, d, w = _indexed(left)
-        place = {x: i for i, x in enumerate(names)}
-        base, _ = power_iteration(len(names), s, d, w, damping, tolerance)
-        have = set(zip(s.tolist(), d.tolist()))
-        out = []
-        for a, b in sorted(set(zip(right["src"], right["dst"]))):
-            i, j = place.get(a), place.get(b)
-            if i is None or j is None or i == j:
-                continue
-            if (i, j) in have:
-                out.append((left["run_id"].iloc[0], a, b, 0.0, 0.0))
-                continue
-            x, _ = power_iteration(len(names), np.append(s, i), np.append(d, j), np.append(w, 1.0), damping, tolerance, start=base)
-            out.append((left["run_id"].iloc[0], a, b, float(x[j] - base[j]), float(np.abs(x - base).sum())))
-        return pd.DataFrame(out, columns=cols)
+        return _simulated(left, right, cols, damping, tolerance, joint).astype({"depth_before": "Int64", "depth_after": "Int64"})
 
-    return edges.select("run_id", "src", "dst", "weight").groupBy("run_id").cogroup(candidates.select("run_id", "src", "dst").groupBy("run_id")).applyInPandas(
-        run, "run_id long, src string, dst string, delta_pr double, l1 double"
-    )
+    return _with_seeds(edges, seeds).groupBy("run_id").cogroup(candidates.select("run_id", "src", "dst").groupBy("run_id")).applyInPandas(run, schema)

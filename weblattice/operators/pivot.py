@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 from weblattice.functions.text import name_key
 
 TYPES = ("count", "ratio", "real", "flag")
-#: Digits kept before and after the decimal point; values are rounded half up.
-DECIMAL = "decimal(38,12)"
+#: Counts are exact whole numbers; ratios and reals are doubles.
+DECIMAL = "decimal(38,9)"
 NUMBER = r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d{1,3})?"
-SQL_TYPE = {"count": "bigint", "ratio": "double", "real": "double", "flag": "boolean"}
 
 
 @dataclass(frozen=True)
@@ -35,11 +34,11 @@ class Attribute:
 
 
 def typed_value(value: Column, value_type: Column) -> Column:
-    """The value as ``decimal(38,12)``, or null when unusable for its type.
+    """(``whole`` bigint, ``real`` double) of a value; both null when unusable for its type.
 
-    count: whole and not negative, commas part thousands. ratio: 0 to 1, or a
-    percentage of 0 to 100 with its sign. real: any finite number; in both a
-    comma is a decimal comma. flag: words of truth, as 1 or 0.
+    count: whole, not negative and a bigint, commas part thousands. ratio: 0 to
+    1, or a percentage of 0 to 100 with its sign. real: any finite number; in
+    both a comma is a decimal comma. flag: words of truth, as whole 1 or 0.
     """
     text = F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     thousands = text.rlike(r"^[+-]?\d{1,3}(,\d{3})+(\.0*)?$")
@@ -49,22 +48,22 @@ def typed_value(value: Column, value_type: Column) -> Column:
     bare = F.regexp_replace(dotted, r"[\s\p{Z}]*%$", "")
 
     def number(c: Column) -> Column:
-        return F.when(c.rlike(f"^{NUMBER}$"), c.try_cast(DECIMAL))
+        x = c.try_cast("double")
+        return F.when(c.rlike(f"^{NUMBER}$") & (F.abs(x) < float("inf")), x)
 
-    count = number(count_text)
-    count = F.when((count >= 0) & (count == F.floor(count)) & (count <= F.lit(2**63 - 1)), count)
+    # A double tells tiny fractions apart from whole numbers, a decimal large whole numbers from each other.
+    near, exact = number(count_text), count_text.try_cast(DECIMAL)
+    count = F.when((near >= 0) & (near == F.floor(near)) & (exact == F.floor(exact)), exact.try_cast("bigint"))
     ratio = number(bare)
-    ratio = F.when(percent, F.when(ratio.between(0, 100), (ratio / 100).cast(DECIMAL))).when(ratio.between(0, 1), ratio)
+    ratio = F.when(percent, F.when(ratio.between(0, 100), ratio / 100)).when(ratio.between(0, 1), ratio)
     real = number(dotted)
     word = F.lower(text)
     flag = F.when(word.isin("1", "1.0", "t", "true", "yes"), F.lit(1)).when(
         word.isin("0", "0.0", "f", "false", "no"), F.lit(0)
     )
-    return (
-        F.when(value_type == "count", count)
-        .when(value_type == "ratio", ratio)
-        .when(value_type == "real", real)
-        .when(value_type == "flag", flag.cast(DECIMAL))
+    return F.struct(
+        F.when(value_type == "count", count).when(value_type == "flag", flag.cast("bigint")).alias("whole"),
+        F.when(value_type == "ratio", ratio).when(value_type == "real", real).alias("real"),
     )
 
 
@@ -74,8 +73,8 @@ def resolved_cells(
 ) -> DataFrame:
     """One row per entity and wanted attribute that occurs.
 
-    Columns: the entity, ``_name``, ``_value`` (null if no row of the cell is
-    usable), ``_failed`` (number of unusable rows) and ``_last_failure`` (text
+    Columns: the entity, ``_name``, ``_value`` (whole, real; null if no row of
+    the cell is usable), ``_failed`` (number of unusable rows) and ``_last_failure`` (text
     and order of the latest unusable one). Among usable rows the greatest
     ``order`` wins. Nulls: a null name matches nothing, a null value is
     unusable, null order columns come first, null entity columns form a group.
@@ -89,7 +88,7 @@ def resolved_cells(
         *entity, "_raw", "_when",
         F.substring_index("_hit", "\n", 1).alias("_type"), F.substring_index("_hit", "\n", -1).alias("_name"),
     ).withColumn("_cast", typed_value(F.col("_raw"), F.col("_type")))
-    usable = F.col("_cast").isNotNull()
+    usable = F.col("_cast.whole").isNotNull() | F.col("_cast.real").isNotNull()
     return cast.groupBy(*entity, "_name").agg(
         F.max_by(F.col("_cast"), F.when(usable, F.col("_when"))).alias("_value"),
         F.count_if(~usable).alias("_failed"),
@@ -134,22 +133,25 @@ def wide_table(
     typed = []
     for a in attributes:
         cell = F.element_at("_cells", F.lit(a.name))
-        out = (cell == 1) if a.value_type == "flag" else cell.cast(SQL_TYPE[a.value_type])
+        out = (cell["whole"] == 1) if a.value_type == "flag" else cell["whole"] if a.value_type == "count" else cell["real"]
         typed.append(out.alias(column_name(a.name)))
     return by_entity.select(*entity, *typed, "cast_failures")
 
 
 def filled_cells(wide: DataFrame, attributes: Sequence[Attribute], entity: Sequence[str] = ("run_id", "policy")) -> DataFrame:
-    """The filled cells of a wide table, back in rows: entity, metric, value_e6."""
+    """The filled cells of a wide table, back in rows: entity, metric, value_e6.
+
+    A value whose millionfold is no bigint has no row here; the wide table has it.
+    """
     cells = []
     for a in attributes:
         c = F.col(column_name(a.name))
         if a.value_type == "flag":
             e6 = c.cast("int").cast("bigint") * 1_000_000
         elif a.value_type == "count":
-            e6 = c * 1_000_000
+            e6 = F.try_multiply(c, F.lit(1_000_000).cast("bigint"))
         else:
-            e6 = F.round(c * 1_000_000).cast("bigint")
+            e6 = F.round(c * 1_000_000).try_cast("bigint")
         cells.append(F.struct(F.lit(a.name).alias("metric"), e6.alias("value_e6")))
     long = wide.select(*entity, F.explode(F.array(*cells)).alias("_c"))
     return long.select(*entity, "_c.metric", "_c.value_e6").where("value_e6 is not null")

@@ -115,6 +115,8 @@ def _anchor(text: str, broken: int, columns: int | None) -> int:
 _DIGITS = re.compile(r"[0-9]+\Z")
 _STATUS = re.compile(r"[+-]?[0-9]+\Z")
 MAX_CLICKS = 9007199254740991
+#: Depths are bigints; a larger run of digits, valid all the same, loads as this.
+DEEPEST = 2**63 - 1
 
 
 def _clicks(v: str):
@@ -131,7 +133,8 @@ def _status(v: str):
 
 
 def _depth(v: str):
-    return (int(v) if len(v.lstrip("0")) <= 9 else None) if _DIGITS.match(v) else None if not v else False
+    """Any run of digits is valid; one beyond a bigint loads as :data:`DEEPEST`."""
+    return min(int(v) if len(v.lstrip("0")) <= 38 else DEEPEST, DEEPEST) if _DIGITS.match(v) else None if not v else False
 
 
 def _text(v: str):
@@ -158,7 +161,7 @@ PARSED = T.StructType(
         T.StructField("record_id", T.LongType()), T.StructField("run_id", T.LongType()), T.StructField("export", T.StringType()),
         T.StructField("source_document", T.StringType()), T.StructField("line_number", T.IntegerType()),
         T.StructField("source_url", T.StringType()), T.StructField("target_url", T.StringType()), T.StructField("clicks", T.LongType()),
-        T.StructField("address", T.StringType()), T.StructField("status_code", T.IntegerType()), T.StructField("crawl_depth", T.IntegerType()),
+        T.StructField("address", T.StringType()), T.StructField("status_code", T.IntegerType()), T.StructField("crawl_depth", T.LongType()),
         T.StructField("reason", T.StringType()), T.StructField("detail", T.StringType()),
         T.StructField("error_offset", T.IntegerType()), T.StructField("error_line", T.IntegerType()), T.StructField("raw", T.StringType()),
     ]

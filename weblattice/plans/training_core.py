@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weblattice.operators.pivot import attributes_of, filled_cells, wide_table
 from weblattice.session import load
-from weblattice.sources.records import parse_records
+from weblattice.sources.records import parse_records, recovered_records
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,16 @@ def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_records(load(spark, sf_dir, "raw_records")).where("reason is null").drop("reason", "detail", "error_offset", "error_line", "raw")
 
 
+def p4_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file, what the recovering grammar reads in its reassembled text."""
+    found = recovered_records(load(spark, sf_dir, "raw_records"))
+    return found.groupBy("run_id", "export", "source_document").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("reason") == "quoting").alias("quoting"), F.count_if(F.col("reason") == "columns").alias("columns"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p2_wide_metrics": p2_wide_metrics, "p2_wide_e5": p2_wide_e5, "p4_found": p4_found, "p4_loaded": p4_loaded,
+    "p2_found": p2_found, "p2_wide_metrics": p2_wide_metrics, "p2_wide_e5": p2_wide_e5, "p4_found": p4_found, "p4_loaded": p4_loaded, "p4_recovered": p4_recovered,
 }
 
 _P2 = r"""

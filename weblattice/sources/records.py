@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weblattice.operators.skew import salted_join
+
 BOM = "﻿"
 _QUOTED = re.compile(r'"((?:[^"]|"")*)"', re.S)
 _BARE = re.compile(r"[^,]*", re.S)
@@ -228,7 +230,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
 
-def parse_records(rows: DataFrame, salts: int = 16) -> DataFrame:
+def parse_records(rows: DataFrame) -> DataFrame:
     """Type the records of ``rows`` and part those that cannot be loaded.
 
     ``rows`` has record_id, run_id, export, source_document, line_number and
@@ -239,26 +241,66 @@ def parse_records(rows: DataFrame, salts: int = 16) -> DataFrame:
     or ``reason`` (quoting, columns, value; header where the file has no
     usable one), its place and the raw text.
 
-    A file may hold a third of all rows: headers are copied to ``salts`` keys,
-    over which each file's records spread by hash.
+    A file may hold a third of all rows: a hot file's records spread over
+    sub-keys, to which its header is copied (:mod:`weblattice.operators.skew`).
     """
     key = ["run_id", "source_document", "export"]
     slim = rows.select("record_id", *key, "line_number", "raw")
     header = (
         slim.where("line_number = 1 and raw is not null")
         .groupBy(*key).agg(F.min_by("raw", "record_id").alias("header"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     body = slim.where(
         F.coalesce(F.col("line_number") != 1, F.lit(True)) & F.coalesce(F.regexp_like("raw", F.lit(r"[^\s\x{FEFF}]")), F.lit(False))
-    ).withColumn("_salt", F.pmod(F.xxhash64("record_id", "line_number"), F.lit(salts)).cast("int"))
-    h = header.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_salt").alias("_s"), "header")
-    on = [body[k].eqNullSafe(h[f"_{k}"]) for k in key] + [body["_salt"] == h["_s"]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = body.join(h, cond, "left").select("record_id", *key, "line_number", "raw", "header")
-    return joined.mapInArrow(_parse_batches, PARSED)
+    )
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    joined = salted_join(body, header, key, F.struct("record_id", "line_number"), counts)
+    return joined.select("record_id", *key, "line_number", "raw", "header").mapInArrow(_parse_batches, PARSED)
+
+
+def reassembled(rows: DataFrame, records: int = 5000) -> DataFrame:
+    """(run_id, source_document, export, chunk, first_line, content, header): files put together again from raw records.
+
+    Records stand in the order of their lines; of one imported again the one
+    with the lowest record_id counts. Null records are left out. A file may be
+    large: it is cut after every ``records`` line numbers, at record starts, so
+    no task holds a whole file. ``header`` is the record with line number 1,
+    or null.
+    """
+    key = ["run_id", "source_document", "export"]
+    once = rows.where("raw is not null and line_number is not null").groupBy(*key, "line_number").agg(F.min_by("raw", "record_id").alias("raw"))
+    chunks = once.groupBy(*key, F.floor((F.col("line_number") - 1) / records).alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("line_number", "raw"))).alias("lines")
+    )
+    text = chunks.select(*key, "chunk", F.col("lines")[0]["line_number"].alias("first_line"), F.array_join(F.transform("lines", lambda x: x["raw"]), "\n").alias("content"))
+    header = once.where("line_number = 1").select(*key, "raw")
+    return salted_join(text, header, key, F.col("chunk"), chunks.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))).withColumnRenamed("raw", "header")
+
+
+def recovered_records(rows: DataFrame, records: int = 5000) -> DataFrame:
+    """(run_id, export, source_document, chunk, line, fields, reason, error_offset) of whole files, with recovery.
+
+    The grammar reads a file's text as it was, without knowing where records
+    begin: a broken quote swallows what follows until the next validated
+    record start, where reading goes on. ``line`` counts lines of text within
+    the chunk, from 1. Empty lines have no row.
+    """
+    schema = "run_id long, export string, source_document string, chunk long, line int, fields array<string>, reason string, error_offset int"
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for run_id, export, doc, chunk, content, header in zip(f["run_id"], f["export"], f["source_document"], f["chunk"], f["content"], f["header"]):
+                head, wrong = parse_record(header) if header is not None else ([], None)
+                columns = len(head) if header is not None and wrong is None else None
+                for line, fields, bad in parse_file(content, columns):
+                    if bad or fields != [""]:
+                        out.append((run_id, export, doc, chunk, line, None if bad else fields, bad and bad.reason, bad and bad.offset))
+            yield pd.DataFrame(out, columns=["run_id", "export", "source_document", "chunk", "line", "fields", "reason", "error_offset"]).astype({"error_offset": "Int32", "run_id": "Int64"})
+
+    return reassembled(rows, records).select("run_id", "export", "source_document", "chunk", "content", "header").mapInPandas(run, schema)
 
 
 def parse_whole_files(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

@@ -3,9 +3,11 @@
 A leak is a window of ``width`` consecutive words of a test item inside a
 document. As a set a window is its ``width - k + 1`` shingles of ``k`` words,
 all of which the document must hold; so a prefix of one shingle suffices, the
-rarest. Counting how many documents hold each of the items' shingles gives the
-order; the join then looks for each window's rarest shingle only, bounds the
-window by the document's ends, and exact containment is verified on the words.
+rarest. Documents are read and cut into words once: a shingle that some item
+holds leaves its document as a hit, with the words around it. Counting the
+hits' documents gives the order by rarity; the hits on each window's rarest
+shingle are bounded by the document's ends, and exact containment is verified
+on the words a hit carries. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -14,22 +16,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblattice.functions.text import lower_nfc, words
+from weblattice.session import checkpointed
 
 TOKEN = r"[\p{L}\p{N}]+"
-#: Up to so many distinct shingles (8 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Up to so many windows of all items, what is derived from them (at most width - k + 1 shingles of 8 bytes, one
+#: passage of some 100 bytes a window) is broadcast; more are joined by shuffle.
+BROADCAST_WINDOWS = 400_000
 
 
 def tokens(c: Column) -> Column:
     return words(lower_nfc(c), TOKEN)
 
 
-def _shingles(w: str, k: int) -> Column:
-    """Array of (pos from 0, hash of k words)."""
-    def one(i: Column) -> Column:
-        return F.struct(i.alias("pos"), F.xxhash64(*[F.get(F.col(w), i + j) for j in range(k)]).alias("h"))
+def _hash(w: Column, at: Column, k: int) -> Column:
+    return F.xxhash64(*[F.get(w, at + j) for j in range(k)])
 
-    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), one))
+
+def _spelt(w: Column) -> Column:
+    return F.array_join(w, " ")
 
 
 def leaked_items(
@@ -41,44 +45,40 @@ def leaked_items(
     Words are unbroken runs of letters and digits in composed form, ignoring
     case; what stands between them doesn't matter. Null, empty and shorter
     texts hold no window. A pair comes out once, however often rows repeat.
+    Further columns are ignored.
+
+    The items are the stated query set. Their windows are counted before the
+    plan is chosen: a few are broadcast, many are joined by shuffle, where
+    adaptive execution splits a shingle that many documents hold. The hits are
+    written once to the shared folder; they grow with what documents and items
+    have in common, not with the texts.
     """
-    d = docs.select(F.col(doc_key).alias("_d"), tokens(F.col(doc_text)).alias("_w")).where(F.size("_w") >= width)
     it = items.select(F.col(item_key).alias("_i"), tokens(F.col(item_text)).alias("_iw")).where(F.size("_iw") >= width)
-    item_shingles = it.select("_i", F.size("_iw").alias("n"), F.inline(_shingles("_iw", k)))
-    wanted = item_shingles.select("h").distinct()
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    spread = width - k
+    windows = it.select("_i", "_iw", F.explode(F.sequence(F.lit(0), F.size("_iw") - width)).alias("start")).select(
+        "_i", "start", _spelt(F.slice("_iw", F.col("start") + 1, width)).alias("passage"),
+        F.posexplode(F.array(*[_hash(F.col("_iw"), F.col("start") + j, k) for j in range(spread + 1)])).alias("offset", "h"),
+    )
+    total = it.agg(F.sum(F.size("_iw") - width + 1)).first()[0] or 0
 
     def sized(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else df
-
-    # Rarity: how many documents hold each of the items' shingles.
-    distinct = d.select(F.explode(F.array_distinct(F.transform(_shingles("_w", k), lambda s: s["h"]))).alias("h"))
-    held = distinct.join(sized(wanted), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    # A window that holds a shingle of no document can't leak: the inner join drops that shingle, the count drops the window.
-    inside = item_shingles.join(sized(held) if small else held, "h")
-    windows = (
-        inside.withColumn("start", F.explode(F.sequence(F.greatest(F.col("pos") - (width - k), F.lit(0)), F.least(F.col("pos"), F.col("n") - width))))
-    )
+        return F.broadcast(df) if total <= BROADCAST_WINDOWS else df
+
+    d = docs.select(F.col(doc_key).alias("_d"), tokens(F.col(doc_text)).alias("_w")).where(F.size("_w") >= width)
+    starts = F.transform(F.sequence(F.lit(0), F.size("_w") - k), lambda i: F.struct(i.alias("pos"), _hash(F.col("_w"), i, k).alias("h")))
+    found = d.select("_d", "_w", F.inline(starts)).join(sized(windows.select("h").distinct()), "h", "left_semi")
+    # The words that windows holding this shingle reach over, and how many of them stand before it.
+    before = F.least(F.col("pos"), F.lit(spread))
+    hits = checkpointed(found.select("_d", "h", before.alias("before"), F.slice("_w", F.col("pos") - before + 1, before + k + spread).alias("near")))
+
+    rarity = hits.groupBy("h", "_d").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     by_window = Window.partitionBy("_i", "start")
+    # A shingle of no document drops out of the join, and its windows with it: they can't leak.
     prefix = (
-        windows.withColumn("whole", F.count(F.lit(1)).over(by_window))
-        .withColumn("rank", F.row_number().over(by_window.orderBy("df", "h", "pos")))
-        .where((F.col("rank") == 1) & (F.col("whole") == width - k + 1))
-        .select("_i", "start", (F.col("pos") - F.col("start")).alias("offset"), "h")
-    )
-    hits = d.select("_d", F.size("_w").alias("n"), F.inline(_shingles("_w", k)))
-    candidates = (
-        hits.join(sized(prefix), "h")
-        .where((F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + width <= F.col("n")))
-        .select("_d", "_i", "start").distinct()
-    )
-    passages = it.select("_i", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_iw") - width + 1), lambda p: _spelt(F.slice("_iw", p, width)))).alias("start", "passage"))
-    asked = candidates.join(sized(passages), ["_i", "start"]).groupBy("_d").agg(F.collect_set(F.struct("_i", "passage")).alias("asked"))
-    checked = d.join(asked, "_d").select(
-        "_d", F.explode(F.filter("asked", lambda a: F.contains(_spelt(F.col("_w")), a["passage"]))).alias("a")
+        windows.join(sized(rarity), "h").withColumn("whole", F.count(F.lit(1)).over(by_window))
+        .withColumn("rank", F.row_number().over(by_window.orderBy("df", "h", "offset")))
+        .where((F.col("rank") == 1) & (F.col("whole") == spread + 1)).select("_i", "offset", "h", "passage").distinct()
     )
-    return checked.select(F.col("_d").alias(doc_key), F.col("a._i").alias(item_key)).distinct()
-
-
-def _spelt(w: Column) -> Column:
-    return F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    bounded = hits.join(sized(prefix), "h").where((F.col("before") >= F.col("offset")) & (F.size("near") - F.col("before") + F.col("offset") >= width))
+    exact = bounded.where(_spelt(F.slice("near", F.col("before") - F.col("offset") + 1, width)) == F.col("passage"))
+    return exact.select(F.col("_d").alias(doc_key), F.col("_i").alias(item_key)).distinct()

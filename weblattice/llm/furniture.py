@@ -1,15 +1,16 @@
 """Page furniture against main content by consensus over hosts.
 
 A page reaches us as lines of text plus the links a crawler saw in its DOM. Its
-*containers* are its lines; a container's *generalised path* is either the tag
-class of the links that make it up (nav, list of crumbs, aside, footer, main,
-read from ``dom_path`` without positions, with ``dom_region`` as fallback), or,
-for text outside links, the line's template: its words without numbers, dates,
-the site's own name and other capitalised names.
+*containers* are its lines; a container's *generalised path* is either the
+tag-class path of the links that make it up (``dom_path`` without positions, or
+``template_signature`` where the path is missing), or, for text outside links,
+the line's template: its words without numbers, dates, the site's own name and
+other capitalised names.
 
 1. Score: each page scores its containers (share of the line covered by links
    of a furniture class, own title or heading, sentence or not, site name).
-2. Vote, in Spark: pages vote on paths per host; per-host tallies are summed
+2. Vote, in Spark: pages vote on paths per host, by the regions a crawler gave
+   their links and by the repetition of their lines; per-host tallies are summed
    over hosts. A path wins where it repeats on its host, or on several hosts,
    more than prose does. All tallies combine on the map side.
 3. Re-extract: each page is cut again with the winning paths of its host.
@@ -21,15 +22,18 @@ alone. Repeated link rows count once. Further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weblattice.operators.skew import SALTS, hot_keys
 from weblattice.session import checkpointed
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -43,9 +47,8 @@ SEPARATORS = re.compile(r"\s*[|·»›/>•–—→⇒▸∙⋅~]\s*|\t+")
 ORNAMENTS = " \t\r\xa0…*→»«\"”’)]"
 DIGIT = re.compile(r"\d")
 CODE = re.compile(r"^\s*(?:[$#>]\s|[a-z]+ -{1,2}\w|[<{}\[\]]|\w+\(|\w+\s*=)")
-#: A line of at most so many letters may be a template of names and dates.
-MIN_HOSTS = 3
-MAX_ITEMS = 6
+#: A path wins over hosts on so many, and on this share of all.
+MIN_HOSTS, HOST_SHARE = 3, 0.001
 #: Labels and templates must hold this share of a host's pages to win on the host alone.
 LABEL_SHARE, LOCAL_SHARE, LOCAL_PAGES = 0.02, 0.08, 4
 #: What sentences without the site's name need beyond that.
@@ -195,26 +198,50 @@ def _votes(rows) -> list[list]:
 _VOTES = pa.schema([("run_id", pa.int64()), ("k", pa.int64()), ("label", pa.int32()), ("prose", pa.int32()), ("branded", pa.int32()), ("outer", pa.int32())])
 
 
-def link_class(path, region):
-    """The furniture class of a link: nav, crumb, aside, footer, or null for main content.
+def generalised_path(path: Column) -> Column:
+    """A tag-class path without positions and numbers, in lower case."""
+    return F.regexp_replace(F.lower(path), r":nth-[a-z-]+\([^)]*\)|\[\d+\]|\d+", "")
 
-    The path decides; where it is missing or names no section, the region does.
-    """
-    p = F.lower(F.coalesce(path, F.lit("")))
-    by_path = (
-        F.when(p.rlike(r"(^|[> ])nav\b"), "nav").when(p.rlike(r"(^|[> ])aside\b"), "aside").when(p.rlike(r"(^|[> ])footer\b"), "footer")
-        .when(p.rlike(r"(^|[> ])(main|article)\b"), "main").when(p.rlike(r"body > ol\b"), "crumb").when(p.rlike(r"(^|[> ])header\b"), "nav")
-    )
-    by_region = (
-        F.when(region.isin("nav", "header"), "nav").when(region == "breadcrumb", "crumb").when(region.isin("aside", "footer"), region)
-    )
-    return F.nullif(F.coalesce(by_path, by_region), F.lit("main"))
+
+#: The furniture class that a region speaks for.
+REGIONS = {"nav": "nav", "header": "nav", "breadcrumb": "crumb", "aside": "aside", "footer": "footer", "main": "main", "body": "main"}
+CLASSES = ("main", "nav", "crumb", "aside", "footer")
+#: A host's own votes on a path count against so many votes cast as all hosts cast theirs.
+PRIOR = 5.0
+#: Up to so many (host, path) winners are broadcast; more are joined by shuffle.
+BROADCAST_PATHS = 200_000
 
 
-def _with_links(pages: DataFrame, links: DataFrame) -> DataFrame:
+def classed_links(links: DataFrame) -> DataFrame:
+    """(id, run_id, source_fetch_id, anchor_text, c): links with the class their path won on their host, null for main content.
+
+    Each link is its page's vote for the class of its region on its generalised
+    path; links without a path vote on their template signature. Per host the
+    class with most votes wins a path, hosts with few votes following the
+    others; equal votes go to the earlier of :data:`CLASSES`. A wrong or
+    missing region is outvoted.
+    """
+    region = F.element_at(F.create_map(*[F.lit(x) for kv in REGIONS.items() for x in kv]), F.lower("dom_region"))
+    slim = links.select(
+        "id", "run_id", "source_fetch_id", "anchor_text",
+        F.coalesce(generalised_path(F.col("dom_path")), F.concat(F.lit("#"), F.col("template_signature")), F.lit("")).alias("g"), region.alias("v"),
+    )
+    votes = [F.count_if(F.col("v") == k).alias(k) for k in CLASSES]
+    local = slim.groupBy("run_id", "g").agg(*votes)
+    over_all = local.groupBy("g").agg(*[F.sum(k).alias(f"all_{k}") for k in CLASSES])
+    every = sum((F.col(f"all_{k}") for k in CLASSES[1:]), F.col("all_main"))
+    scores = [F.struct((F.col(k) + PRIOR * F.col(f"all_{k}") / F.greatest(every, F.lit(1))).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("k")) for i, k in enumerate(CLASSES)]
+    won = F.when(every > 0, F.array_max(F.array(*scores))["k"])
+    winners = checkpointed(local.join(over_all, "g").select(F.col("run_id").alias("_r"), F.col("g").alias("_g"), won.alias("c")))
+    small = winners.count() <= BROADCAST_PATHS
+    joined = slim.join(F.broadcast(winners) if small else winners, slim["run_id"].eqNullSafe(winners["_r"]) & (slim["g"] == winners["_g"]), "left")
+    return joined.select("id", "run_id", "source_fetch_id", "anchor_text", F.nullif(F.col("c"), F.lit("main")).alias("c"))
+
+
+def _with_links(pages: DataFrame, classed: DataFrame) -> DataFrame:
     """Pages with the anchors of their side lists; one shuffle of the texts by fetch_id."""
     side = (
-        links.where(F.col("anchor_text").isNotNull() & (link_class(F.col("dom_path"), F.col("dom_region")) == "aside"))
+        classed.where(F.col("anchor_text").isNotNull() & (F.col("c") == "aside"))
         .groupBy(F.col("source_fetch_id").alias("_f")).agg(F.collect_set("anchor_text").alias("aside"))
     )
     slim = pages.where("body_text is not null").select(
@@ -223,15 +250,27 @@ def _with_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     return slim.join(side, slim["fetch_id"] == side["_f"], "left").drop("_f", "fetch_id")
 
 
-def host_profiles(pages: DataFrame, links: DataFrame) -> DataFrame:
+def host_sizes(pages: DataFrame) -> DataFrame:
+    return pages.where("body_text is not null").groupBy("run_id").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@dataclass(frozen=True)
+class Everywhere:
+    """Labels and templates on :data:`EVERYWHERE` of all hosts: at most a host's mean number of them over that share."""
+
+    labels: frozenset[str]
+    wins: frozenset[int]
+
+
+def host_profiles(pages: DataFrame, classed: DataFrame, joined_pages: DataFrame) -> tuple[DataFrame, Everywhere]:
     """The vote: per run_id its ``labels`` (menu entries), ``wins`` and ``heads`` (templates; heads start a side list).
 
-    Each list holds what has a fixed share of the host's pages, or of all
-    hosts, so its length is bounded by lines per page over that share. What
-    holds on :data:`EVERYWHERE` of all hosts is added to each host's lists.
+    A path wins on its own host by its share of the host's pages, or on all its
+    hosts by the number of hosts: :data:`MIN_HOSTS`, and :data:`HOST_SHARE` of
+    all. What holds on :data:`EVERYWHERE` of all hosts comes apart.
     """
-    sized = pages.where("body_text is not null").groupBy("run_id").agg(F.count(F.lit(1)).alias("pages"))
-    slim = _with_links(pages, links).select("run_id", "url", "body_text", "title", "h1", "headings", "aside")
+    sized = host_sizes(pages)
+    slim = joined_pages.select("run_id", "url", "body_text", "title", "h1", "headings", "aside")
     ballots = slim.mapInArrow(_arrow(_votes, _VOTES), "run_id long, k long, label int, prose int, branded int, outer int")
     tallies = ballots.groupBy("run_id", "k").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("label"), (F.avg("prose") > 0.5).alias("prose"), F.max("branded").alias("branded"),
@@ -239,15 +278,17 @@ def host_profiles(pages: DataFrame, links: DataFrame) -> DataFrame:
     )
     # Read three times below; the ballots cost a pass over all texts in Python, so they are cast once.
     local = checkpointed(tallies).join(sized, "run_id")
+    all_hosts = sized.count()
+    least = max(MIN_HOSTS, math.ceil(HOST_SHARE * all_hosts))
     over_hosts = (
         local.groupBy("k").agg(
             F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("g_n"), F.sum("pages").alias("g_pages"), F.max("n").alias("g_max"),
             F.sum("label").alias("g_label"), F.sum("outer").alias("g_outer"),
-        ).where(F.col("hosts") >= MIN_HOSTS)
+        ).where(F.col("hosts") >= least)
     )
     joined = local.join(over_hosts, "k", "left")
     n, share = F.col("n"), F.col("n") / F.col("pages")
-    wide = F.coalesce(F.col("hosts"), F.lit(0)) >= MIN_HOSTS
+    wide = F.col("hosts").isNotNull()
     often = F.coalesce((F.col("g_max") >= PROSE_PAGES) & (F.col("g_n") / F.col("g_pages") >= PROSE_SHARE), F.lit(False))
     outside = F.coalesce((F.col("g_n") >= OUTER_PAGES) & (F.col("g_outer") / F.col("g_n") >= OUTER_SHARE), F.lit(False))
     here = (n >= LOCAL_PAGES) & (share >= LOCAL_SHARE)
@@ -261,33 +302,23 @@ def host_profiles(pages: DataFrame, links: DataFrame) -> DataFrame:
     wins = joined.where(won).groupBy("run_id").agg(F.collect_list("k").alias("wins"), F.collect_list(F.when(head, F.col("k"))).alias("heads"))
 
     key = F.regexp_replace(F.lower("anchor_text"), r"[^\p{L}]", "")
-    entries = links.select("run_id", "id", "source_fetch_id", key.alias("a"), link_class(F.col("dom_path"), F.col("dom_region")).alias("c"))
+    entries = classed.select("run_id", key.alias("a"), "c")
     tally = (
         entries.where("a != ''").groupBy("run_id", "a").agg(
             F.count_if(F.col("c").isin("nav", "crumb", "footer")).alias("yes"), F.count_if(F.col("c").isNull() | (F.col("c") == "aside")).alias("no")
         ).where("yes > no")
-    ).join(sized, "run_id")
+    )
+    tally = checkpointed(tally.join(sized, "run_id"))
     shared = tally.groupBy("a").agg(F.count(F.lit(1)).alias("hosts"))
     labels = (
-        tally.join(shared, "a").where((F.col("hosts") >= MIN_HOSTS) | (F.col("yes") >= F.greatest(F.lit(2), LABEL_SHARE * F.col("pages"))))
+        tally.join(shared, "a").where((F.col("hosts") >= least) | (F.col("yes") >= F.greatest(F.lit(2), LABEL_SHARE * F.col("pages"))))
         .groupBy("run_id").agg(F.collect_list("a").alias("labels"))
     )
-    hosts = sized.agg(F.count(F.lit(1)).alias("all_hosts"))  # one row, as are the two lists below
-    least = F.greatest(F.lit(MIN_HOSTS), F.col("all_hosts") * EVERYWHERE)
-    labels_all = shared.join(F.broadcast(hosts)).where(F.col("hosts") >= least).agg(F.collect_list("a").alias("labels_all"))
-    wins_all = (
-        joined.where(won).groupBy("k").agg(F.count(F.lit(1)).alias("hosts")).join(F.broadcast(hosts)).where(F.col("hosts") >= least)
-        .agg(F.collect_list("k").alias("wins_all"))
-    )
+    widest = max(MIN_HOSTS, EVERYWHERE * all_hosts)
+    labels_all = [r.a for r in shared.where(F.col("hosts") >= widest).select("a").collect()]
+    wins_all = [r.k for r in joined.where(won).groupBy("k").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= widest).select("k").collect()]
     own = sized.select("run_id").join(labels, "run_id", "left").join(wins, "run_id", "left")
-    return own.join(F.broadcast(labels_all)).join(F.broadcast(wins_all)).select(
-        "run_id", F.array_union(_list("labels"), F.col("labels_all")).alias("labels"),
-        F.array_union(_list("wins", "bigint"), F.col("wins_all")).alias("wins"), "heads",
-    ).withColumn("stamp", F.xxhash64("labels", "wins", "heads"))
-
-
-def _list(name: str, kind: str = "string"):
-    return F.coalesce(F.col(name), F.array().cast(f"array<{kind}>"))
+    return own, Everywhere(frozenset(labels_all), frozenset(wins_all))
 
 
 #: Verdicts on a line: content, furniture, start of a side list, menu, crumbs if the page's title fits.
@@ -329,7 +360,7 @@ class Profile:
         k = digest(words, capitals)
         if k in self.wins:
             return k
-        if capitals and len(words) <= 16:
+        if capitals:
             n = len(words)
             for i in range(n + 1):
                 for j in range(i, n + 1):
@@ -341,17 +372,17 @@ class Profile:
     def cut(self, lines: list[str], brand: str, own: set[str], side: set[str]) -> list[bool]:
         """For each line, whether it is furniture."""
         out = [False] * len(lines)
-        items = 0  # how many more lines may belong to an open side list
+        items = False  # whether a side list is open
         for i, line in enumerate(lines):
             found = LETTERS.findall(line)
             if not found:
                 continue
             key = "".join(found).lower()
             if key in own:
-                items = 0
+                items = False
                 continue
             if key in side:
-                out[i], items = True, max(items - 1, 0)
+                out[i] = True
                 continue
             verdict = self.memory.get((brand, line))
             if verdict is None:
@@ -362,23 +393,35 @@ class Profile:
             if verdict == CRUMBS:
                 verdict = MENU if self._crumbs(line, own) else self._by_template(line, found, brand)
             if verdict == MENU:
-                out[i], items = True, 0
+                out[i], items = True, False
             elif verdict:
                 out[i] = True
-                items = MAX_ITEMS if verdict == HEAD else items
+                items = items or verdict == HEAD
             elif items and line.rstrip(ORNAMENTS)[-1:] not in ENDS and len(found) > 2 and not CODE.match(line):
-                out[i], items = True, items - 1
+                out[i] = True
             else:
-                items = 0
+                items = False
         return out
 
     def _verdict(self, line: str, found: list[str], key: str, brand: str) -> int:
-        if key in self.labels or (self.menu is not None and len(key) < 400 and self.menu.fullmatch(key)):
+        if key in self.labels or (self.menu is not None and (self.menu.fullmatch(key) if len(key) < 400 else self._labels_only(key))):
             return MENU
         if found[0].lower() in self.starts and SEPARATORS.search(line):
             return CRUMBS  # depends on the page's title
         return self._by_template(line, found, brand)
 
+    def _labels_only(self, key: str) -> bool:
+        """Whether labels alone make up a long line, in time that grows with its length only."""
+        lengths = sorted({len(x) for x in self.labels})
+        reached = {0}
+        for at in range(len(key)):
+            if at in reached:
+                reached.discard(at)
+                reached.update(at + n for n in lengths if key[at : at + n] in self.labels)
+                if not reached:
+                    return False
+        return len(key) in reached
+
     def _by_template(self, line: str, found: list[str], brand: str) -> int:
         words, _, capitals = template(line, found, brand)
         if "©" in line and len(words) <= 12:
@@ -396,42 +439,60 @@ class Profile:
         return 2 * hits >= len(rest) or (len(rest) <= 2 and not _prose(line, rest + ["", "", ""]))
 
 
-_profiles: dict = {}
+class Cutter:
+    """Cuts the pages of a partition of :func:`profiled_pages`: a host's profile comes first, then its pages."""
+
+    def __init__(self, everywhere: Everywhere):
+        self.everywhere = everywhere
+        self.run_id, self.profile = None, Profile(everywhere.labels, everywhere.wins, ())
+
+    def pages(self, batch: pa.RecordBatch) -> Iterator[tuple[tuple, list[str], list[bool]]]:
+        """((id, body_text), lines, furniture or not) of each page of a batch."""
+        cols = [batch.column(n).to_pylist() for n in ("lead", "id", "run_id", "url", "body_text", "title", "h1", "headings", "aside", "labels", "wins", "heads")]
+        for lead, key, run_id, url, text, title, h1, headings, aside, labels, wins, heads in zip(*cols):
+            if lead:
+                self.run_id = run_id
+                self.profile = Profile(self.everywhere.labels.union(labels or ()), self.everywhere.wins.union(wins or ()), heads)
+                continue
+            if run_id != self.run_id:  # pages without a run have no host
+                self.run_id, self.profile = run_id, Profile(self.everywhere.labels, self.everywhere.wins, ())
+            lines = page_lines(text)
+            own = _own(title, h1, headings)
+            side = {letters(unicodedata.normalize("NFC", a)) for a in aside if a} - own - {""} if aside else frozenset()
+            yield (key, text), lines, self.profile.cut(lines, brand_of(url), own, side)
 
 
-def cut_pages(batch: pa.RecordBatch) -> Iterator[tuple[tuple, list[str], list[bool]]]:
-    """((id, body_text), lines, furniture or not) of each row of a batch of :func:`profiled_pages`.
+def profiled_pages(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, Everywhere]:
+    """Pages behind their host's winning paths, and what holds on all hosts.
 
-    The lists of a host are read from Arrow once and remembered by their stamp.
+    Within a partition the rows of a host stand together, its profile (``lead``)
+    before its pages, so a profile is sent once and no task holds a host's
+    pages at once. A hot host's pages spread over sub-keys, each with a copy of
+    the profile.
     """
-    names = ("id", "run_id", "url", "body_text", "title", "h1", "headings", "aside", "stamp")
-    lists = [batch.column(n) for n in ("labels", "wins", "heads")]
-    for i, (key, run_id, url, text, title, h1, headings, aside, stamp) in enumerate(zip(*[batch.column(n).to_pylist() for n in names])):
-        profile = _profiles.get((run_id, stamp))
-        if profile is None:
-            if len(_profiles) >= 64:
-                _profiles.clear()
-            profile = _profiles[run_id, stamp] = Profile(*[c[i].as_py() for c in lists])
-        lines = page_lines(text)
-        own = _own(title, h1, headings)
-        side = {letters(unicodedata.normalize("NFC", a)) for a in aside if a} - own - {""} if aside else frozenset()
-        yield (key, text), lines, profile.cut(lines, brand_of(url), own, side)
-
-
-def profiled_pages(pages: DataFrame, links: DataFrame, salts: int = 16) -> DataFrame:
-    """Pages joined to their host's winning paths, one host's pages spread over ``salts`` keys."""
-    profiles = host_profiles(pages, links).withColumnRenamed("run_id", "_r").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = _with_links(pages, links).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    joined = rows.join(profiles, rows["run_id"].eqNullSafe(profiles["_r"]) & (rows["_salt"] == profiles["_s"]), "left")
-    return joined.select("id", "run_id", "url", "body_text", "title", "h1", "headings", "aside", "labels", "wins", "heads", "stamp")
-
-
-def _map_pages(fn: Callable, schema: pa.Schema):
+    classed = classed_links(links)
+    rows = _with_links(pages, classed)
+    profiles, everywhere = host_profiles(pages, classed, rows)
+    hot = F.broadcast(hot_keys(host_sizes(pages), ["run_id"], "pages").select(F.col("run_id").alias("_h"), F.lit(True).alias("_hot")))
+
+    def spread(df: DataFrame, z: Column) -> DataFrame:
+        return df.join(hot, df["run_id"].eqNullSafe(F.col("_h")), "left").withColumn("_z", z).drop("_h", "_hot")
+
+    texts = spread(rows, F.when(F.col("_hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)).withColumn("lead", F.lit(False))
+    leads = spread(profiles, F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).withColumn("lead", F.lit(True))
+    both = texts.unionByName(leads, allowMissingColumns=True)
+    return both.repartition("run_id", "_z").sortWithinPartitions("run_id", "_z", F.desc("lead")), everywhere
+
+
+def _map_pages(pages: DataFrame, links: DataFrame, fn: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
+    rows, everywhere = profiled_pages(pages, links)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(everywhere)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(fn(cut_pages(b)), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(fn(cutter.pages(b)), schema)], schema=schema)
 
-    return run
+    return rows.mapInArrow(run, ddl)
 
 
 def _found(pages) -> list[list]:
@@ -446,7 +507,7 @@ def _found(pages) -> list[list]:
 def furniture_lines(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(page_id, line_no) of each line that is not the page's own content."""
     schema = pa.schema([("page_id", pa.int64()), ("line_no", pa.int32())])
-    return profiled_pages(pages, links).mapInArrow(_map_pages(_found, schema), "page_id long, line_no int")
+    return _map_pages(pages, links, _found, schema, "page_id long, line_no int")
 
 
 def _cleaned(pages) -> list[list]:
@@ -462,4 +523,4 @@ def _cleaned(pages) -> list[list]:
 def main_text(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(page_id, main_text, removed_lines) of each page with a text."""
     schema = pa.schema([("page_id", pa.int64()), ("main_text", pa.string()), ("removed_lines", pa.int32())])
-    return profiled_pages(pages, links).mapInArrow(_map_pages(_cleaned, schema), "page_id long, main_text string, removed_lines int")
+    return _map_pages(pages, links, _cleaned, schema, "page_id long, main_text string, removed_lines int")

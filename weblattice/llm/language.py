@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblattice.llm.furniture import CODE, cut_pages, page_lines, profiled_pages
+from weblattice.llm.furniture import CODE, Cutter, page_lines, profiled_pages
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
@@ -316,21 +316,22 @@ def page_languages(pages: DataFrame, links: DataFrame, sample: Sample = Sample()
     """The language of each page and of each line of its own text that differs from it.
 
     Rows: page_id, line_no (0 the page), lang, confidence (the winner's lead in
-    bits over the next language, as a share), label (the language the page's
-    label names) and foreign (characters of lines in other languages). Pages
+    bits over the next language, as a share) and foreign (characters of lines in other languages). Pages
     with a null text, or with no own words, have no row. Furniture lines, cut
     by :mod:`weblattice.llm.furniture`, don't count; nor does code.
     """
     labelled = fit_from(pages, "id", "body_text", "lang", sample)
+    cut, everywhere = profiled_pages(pages, links)
     schema = pa.schema([("page_id", pa.int64()), ("line_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("foreign", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(labelled) if labelled else None
+        cutter = Cutter(everywhere)
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             if model is not None:
                 rows, own = [], []
-                for (key, _), lines, bad in cut_pages(b):
+                for (key, _), lines, bad in cutter.pages(b):
                     rows.append(key)
                     own.append(_own_lines(lines, bad))
                 scores = model.scores([w for _, words in own for w in words])
@@ -351,7 +352,7 @@ def page_languages(pages: DataFrame, links: DataFrame, sample: Sample = Sample()
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return profiled_pages(pages, links).mapInArrow(run, "page_id long, line_no int, lang string, confidence double, foreign int")
+    return cut.mapInArrow(run, "page_id long, line_no int, lang string, confidence double, foreign int")
 
 
 def with_labels(found: DataFrame, pages: DataFrame) -> DataFrame:

@@ -14,19 +14,27 @@ array over the sources' identifier sequences is built in Spark:
 
 A page counts once for a block however often it holds it: of a page's own
 suffixes, the prefix shared with its previous one is already counted.
+
+A block is reported if it is closed: no longer block that begins or ends with
+it stands on as many documents. That depends on the documents alone, not on how
+the sorted suffixes are parted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblattice.functions.text import nfc
+from weblattice.operators.skew import salted_join
+from weblattice.session import checkpointed
 
-#: Longest block reported as one; longer ones come out as overlapping blocks, no line is lost.
+#: Suffixes are cut to so many identifiers at first; where blocks reach that length, their documents
+#: are read again with twice as many, until none does.
 MAX_BLOCK = 32
 MARK = "￿"
 
@@ -61,21 +69,18 @@ def page_sequences(pages: DataFrame, key: str, source: str, text: str, parts: st
     return lines.select("_id", "_source", numbered("_b", 0).alias("_b"), numbered("_p", 1).alias("_p"))
 
 
-def _repeated_items(seqs: DataFrame, min_docs: int, salts: int) -> DataFrame:
+def _repeated_items(seqs: DataFrame, min_docs: int) -> DataFrame:
     """Occurrences of identifiers on at least ``min_docs`` documents of their source."""
     once = seqs.select("_source", F.explode(F.array_distinct(F.concat(F.transform("_b", lambda r: r["h"]), F.transform("_p", lambda r: r["h"])))).alias("h"))
     often = once.groupBy("_source", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    often = often.select(
-        F.col("_source").alias("_s2"), F.col("h").alias("_h2"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_z2")
-    )
     # One gap in the numbering keeps the two fields apart.
     both = F.concat("_b", F.array(F.struct(F.lit(-1).alias("field"), F.lit(0).alias("pos"), F.lit(None).cast("bigint").alias("h"))), "_p")
     rows = seqs.select("_id", "_source", F.posexplode(both).alias("seq", "r")).select("_id", "_source", "seq", "r.field", "r.pos", "r.h")
-    rows = rows.where("h is not null").withColumn("_z", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-    return rows.join(often, (F.col("h") == F.col("_h2")) & (F.col("_z") == F.col("_z2")) & F.col("_source").eqNullSafe(F.col("_s2")), "left_semi")
+    # A source's commonest line may stand on a third of all documents.
+    return salted_join(rows.where("h is not null"), often.select("_source", "h"), ["_source", "h"], F.col("_id"), often, "left_semi")
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suffixes(cap: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes of each document's runs, with the length already counted through the document's previous one."""
     schema = pa.schema([("_source", pa.int64()), ("suffix", pa.list_(pa.int64())), ("counted", pa.int32())])
     for b in batches:
@@ -87,7 +92,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     runs.append([])
                 runs[-1].append(it["h"])
                 last = it["seq"]
-            found = sorted(r[i : i + MAX_BLOCK] for r in runs for i in range(len(r)))
+            found = sorted(r[i : i + cap] for r in runs for i in range(len(r)))
             before: list[int] = []
             for s in found:
                 c = common(before, s)
@@ -135,20 +140,52 @@ def closing_blocks(rows: Iterator[tuple], min_docs: int) -> Iterator[tuple]:
 
 def repeated_blocks(
     pages: DataFrame, key: str = "id", source: str = "run_id", text: str = "body_text", parts: str = "paragraphs", min_docs: int = 8,
-    salts: int = 16,
 ) -> DataFrame:
-    """(source, block, docs): blocks of line identifiers on at least ``min_docs`` documents of a source."""
-    return _blocks(_documents(pages, key, source, text, parts, min_docs, salts), min_docs).withColumnRenamed("_source", source)
+    """(source, block, docs): the closed blocks of line identifiers on at least ``min_docs`` documents of a source.
+
+    Blocks may have any length. Those that reach :data:`MAX_BLOCK` identifiers
+    are followed further in the documents that hold them: a run of r repeated
+    lines then costs up to r²/2 identifiers.
+    """
+    documents = checkpointed(_documents(pages, key, source, text, parts, min_docs))
+    cap, blocks = MAX_BLOCK, checkpointed(_blocks(documents, min_docs))
+    while True:
+        open_at = blocks.where(F.size("block") >= cap).select(F.col("_source").alias("_s2"), F.col("block")[0].alias("_h2")).distinct()
+        if open_at.isEmpty():
+            break
+        starts = documents.select("_id", "_source", F.explode("items.h").alias("h"))
+        within = starts.join(open_at, (F.col("h") == F.col("_h2")) & F.col("_source").eqNullSafe(F.col("_s2")), "left_semi").select("_id").distinct()
+        documents = documents.join(within, "_id", "left_semi")
+        longer = _blocks(documents, min_docs, 2 * cap).where(F.size("block") >= cap)
+        blocks, cap = checkpointed(blocks.where(F.size("block") < cap).unionByName(longer)), 2 * cap
+    return closed(blocks).withColumnRenamed("_source", source)
+
 
+def closed(blocks: DataFrame) -> DataFrame:
+    """The (``_source``, ``block``, ``docs``) that no longer one with as many documents begins or ends with.
 
-def _documents(pages, key, source, text, parts, min_docs, salts) -> DataFrame:
-    items = _repeated_items(page_sequences(pages, key, source, text, parts), min_docs, salts)
+    Each block names its proper beginnings and its end less one line; what is
+    named with its own number of documents falls out. If a longer block ends
+    with this one, so does some block that is one line longer.
+    """
+    code = lambda c: F.xxhash64(c)
+    size = F.size("block")
+    begins = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda n: code(F.slice("block", F.lit(1), n))))
+    ends = F.when(size > 1, F.array(code(F.slice("block", F.lit(2), size - 1))))
+    named = blocks.select(F.col("_source").alias("_s2"), F.col("docs").alias("_d2"), F.explode(F.concat(begins, ends)).alias("_c2")).distinct()
+    coded = blocks.withColumn("_c", code("block"))
+    return coded.join(named, (F.col("_c") == F.col("_c2")) & (F.col("docs") == F.col("_d2")) & F.col("_source").eqNullSafe(F.col("_s2")), "left_anti").drop("_c")
+
+
+def _documents(pages, key, source, text, parts, min_docs) -> DataFrame:
+    items = _repeated_items(page_sequences(pages, key, source, text, parts), min_docs)
     return items.groupBy("_id", "_source").agg(F.array_sort(F.collect_list(F.struct("seq", "field", "pos", "h"))).alias("items"))
 
 
-def _blocks(documents: DataFrame, min_docs: int) -> DataFrame:
+def _blocks(documents: DataFrame, min_docs: int, cap: int = MAX_BLOCK) -> DataFrame:
+    """(_source, block, docs) of all closed blocks up to ``cap`` identifiers, and of some that aren't closed."""
     merged = (
-        documents.select("_source", "items").mapInArrow(_suffixes, "_source long, suffix array<bigint>, counted int")
+        documents.select("_source", "items").mapInArrow(partial(_suffixes, cap), "_source long, suffix array<bigint>, counted int")
         .groupBy("_source", "suffix", "counted").agg(F.count(F.lit(1)).alias("n"))
     )
     ordered = merged.repartitionByRange("_source", "suffix").sortWithinPartitions("_source", "suffix", "counted")
@@ -179,7 +216,6 @@ def _blocks(documents: DataFrame, min_docs: int) -> DataFrame:
 
 def repeated_lines(
     pages: DataFrame, key: str = "id", source: str = "run_id", text: str = "body_text", parts: str = "paragraphs", min_docs: int = 8,
-    salts: int = 16,
 ) -> DataFrame:
     """(page_id, field, pos) of each line covered by a repeated block.
 
@@ -189,14 +225,10 @@ def repeated_lines(
     texts and arrays have no lines, a null entry keeps its place; pages with a
     null source form a source. Empty tables give empty results.
     """
-    documents = _documents(pages, key, source, text, parts, min_docs, salts)
-    covered = _blocks(documents, min_docs).select("_source", F.explode("block").alias("h")).distinct().select(
-        F.col("_source").alias("_s2"), F.col("h").alias("_h2"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_z2")
-    )
-    rows = documents.select("_id", "_source", F.explode("items").alias("r")).select(
-        "_id", "_source", "r.field", "r.pos", "r.h", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_z")
-    )
-    hit = rows.join(covered, (F.col("h") == F.col("_h2")) & (F.col("_z") == F.col("_z2")) & F.col("_source").eqNullSafe(F.col("_s2")), "left_semi")
+    documents = _documents(pages, key, source, text, parts, min_docs)
+    covered = _blocks(documents, min_docs).select("_source", "docs", F.explode("block").alias("h")).groupBy("_source", "h").agg(F.max("docs").alias("n"))
+    rows = documents.select("_id", "_source", F.explode("items").alias("r")).select("_id", "_source", "r.field", "r.pos", "r.h")
+    hit = salted_join(rows, covered.select("_source", "h"), ["_source", "h"], F.col("_id"), covered, "left_semi")
     return hit.select(
         F.col("_id").alias("page_id"), F.when(F.col("field") == 0, text).otherwise(parts).alias("field"), "pos"
     )

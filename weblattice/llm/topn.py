@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def top_n(
     rows: DataFrame, n: int = 10, group: str = "target", item: str = "donor", score: str = "s_score",
-    subgroups: int = 32,
+    subgroups: int | None = None,
 ) -> DataFrame:
     """The ``n`` items with the highest score of each group: group, item, score, rank.
 
@@ -21,13 +21,16 @@ def top_n(
     (group, subgroup): repeats of an item meet there, are merged, ranked, and
     ``n`` are kept. Any member of the final list is among the first ``n`` of
     its subgroup, so nothing is lost. Stage 2 ranks the survivors, at most
-    ``n * subgroups`` per group, however large the group was.
+    ``n * subgroups`` per group, however large the group was. Without
+    ``subgroups`` there are as many as shuffle partitions, 32 at least, so a
+    hot group fills the cluster at any size.
     """
+    subgroups = subgroups or max(32, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     s = F.col(score).cast("double")
     slim = rows.where(F.col(item).isNotNull() & s.isNotNull() & ~F.isnan(s)).select(
         F.col(group).alias("_g"), F.col(item).alias("_i"), (s + F.lit(0.0)).alias("_s")
     )
-    salted = slim.withColumn("_salt", F.pmod(F.xxhash64("_i"), F.lit(subgroups)).cast("short"))
+    salted = slim.withColumn("_salt", F.pmod(F.xxhash64("_i"), F.lit(subgroups)).cast("int"))
     # One exchange serves the merge of repeats and the first ranking: both
     # cluster by a superset of (group, subgroup).
     best = salted.repartition("_g", "_salt").groupBy("_g", "_salt", "_i").agg(F.max("_s").alias("_s"))

@@ -17,6 +17,7 @@ ones. Everything else covers all rows and whole texts.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -54,9 +55,16 @@ def named_language(label: str | None) -> str | None:
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of the labelled sample per language: rows, characters of the first fit's distinct words and of running text."""
+    """Bounds of the labelled sample per language.
+
+    rows and characters a row taken to fit, characters of the first fit's
+    distinct words and of running text. A language that fewer than
+    ``least_rows`` rows of the sample are labelled with can't be fitted; its
+    pages come out under the nearest fitted language, with a low confidence.
+    """
 
     rows: int = 300
+    row_chars: int = 20_000
     chars: int = 24_000
     running: int = 40_000
     least_rows: int = 3
@@ -249,19 +257,19 @@ def fit_from(rows: DataFrame, key: str, text: str, label: str, sample: Sample =
     code = F.element_at(F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair]), tag)
     h = F.xxhash64(F.col(key), F.lit(17))
     ranked = (
-        rows.select(F.col(key).alias("k"), F.col(text).alias("t"), code.alias("c"), h.alias("h")).where("c is not null and t is not null")
+        rows.select(F.col(key).alias("k"), F.left(F.col(text), F.lit(sample.row_chars)).alias("t"), code.alias("c"), h.alias("h")).where("c is not null and t is not null")
         .withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("h", "k"))).where(F.col("r") <= sample.rows)
     )
     found = sorted((r.c, r.h, r.t) for r in ranked.select("c", "h", "t").collect())
     return fit([(c, t) for c, _, t in found], sample)
 
 
-_models: dict[int, Model] = {}
+_models: dict[bytes, Model] = {}
 
 
 def model_of(texts: dict[str, list[str]]) -> Model:
     """The worker's model, built once."""
-    key = hash(tuple((k, *v) for k, v in sorted(texts.items())))
+    key = hashlib.sha256(repr(sorted(texts.items())).encode()).digest()
     if key not in _models:
         _models.clear()
         _models[key] = Model(texts)
@@ -303,9 +311,9 @@ SLUG = re.compile(r"\S*/\S+-\S+")
 def _own_lines(lines: list[str], bad: list[bool]) -> tuple[list[int], list[list[str]]]:
     numbers, words = [], []
     for n, (line, b) in enumerate(zip(lines, bad), 1):
-        if b or CODE.match(line) or ("/" in line and SLUG.search(line)):
+        if b or CODE.match(line):
             continue
-        s = spell(line)
+        s = spell(SLUG.sub(" ", line) if "/" in line else line)
         if s:
             numbers.append(n)
             words.append(s)

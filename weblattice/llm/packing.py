@@ -41,16 +41,14 @@ def encoder(path: str = VOCABULARY):
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, n_tokens) of each row; null and empty texts have none."""
-    schema = pa.schema([("_k", pa.int64()), ("n_tokens", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in batches:
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["_k", "n_tokens"])
 
-    rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text))
-    return rows.mapInArrow(run, "_k long, n_tokens long").withColumnRenamed("_k", key)
+    rows = docs.select(F.col(key).alias("_k"), F.col(text))
+    return rows.mapInArrow(run, f"_k {rows.schema['_k'].dataType.simpleString()}, n_tokens long").withColumnRenamed("_k", key)
 
 
 class Rooms:
@@ -136,12 +134,13 @@ def packed(
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0]) if len(pdf) else 0
-        keys, sizes = pdf["k"].to_numpy(), pdf["n_tokens"].to_numpy()
+        keys, sizes = pdf["k"].array, pdf["n_tokens"].to_numpy()
+        by_key = pd.factorize(pdf["k"], sort=True)[0]  # null keys, if any, come first
         full = sizes // capacity
         full = np.where(sizes == capacity, 0, full)
         rest = sizes - full * capacity
         place = np.flatnonzero(rest > 0)
-        place = place[np.lexsort((keys[place], -rest[place]))]
+        place = place[np.lexsort((by_key[place], -rest[place]))]
         seqs = np.array(assign(rest[place], capacity, linear, quadratic), dtype=np.int64)
         order = np.argsort(seqs, kind="stable")
         sorted_seq, sorted_rest = seqs[order], rest[place][order]
@@ -166,7 +165,7 @@ def packed(
             out = pd.concat([out, empty])
         return out
 
-    schema = "k long, piece long, container long, position long, n_tokens long"
+    schema = f"k {salted.schema['k'].dataType.simpleString()}, piece long, container long, position long, n_tokens long"
     return salted.groupBy("shard").applyInPandas(pack, schema).withColumnRenamed("k", key)
 
 

@@ -4,8 +4,9 @@ Three grammars look at a text whose code (fenced or between backticks) is
 blanked out first:
 
 * placeholders: one small grammar per kind of delimiter, for what stands
-  between the delimiters. A tutorial that shows the same delimiters quotes
-  them, so what is quoted or in code never counts;
+  between the delimiters, up to the line's end. What is quoted or in code
+  never counts; what the words around explain doesn't either, and where such
+  explanations are dense the text is a tutorial;
 * filler: passages that only stand for text to come;
 * errors and notices: what a server or a script says instead of a page. These
   count as *served* only where they make up a line of their own, not where a
@@ -29,11 +30,11 @@ NAME = r"[A-Za-z_][\w.\-]*"
 WORDS = r"[A-Za-z][\w.\-]*(?:[ _][\w.\-]+){0,5}"
 #: One grammar per delimiter: opening, what may stand inside, closing.
 PLACEHOLDERS = {
-    "braces": re.compile(r"\{\{\{?[#/^>&!]?\s*[A-Za-z_][^{}\n]{0,80}?\}?\}\}"),
-    "block": re.compile(r"\{%-?\s*[a-z]+\b[^%\n]{0,120}-?%\}"),
-    "dollar": re.compile(r"\$\{\s*" + NAME + r"[^{}\n]{0,60}\}"),
-    "hash": re.compile(r"#\{\s*" + NAME + r"[^{}\n]{0,60}\}"),
-    "angle": re.compile(r"<%[=\-#]?\s*[A-Za-z_@][^%\n]{0,120}%>|<\?(?:php|=)[^?\n]{0,120}\?>"),
+    "braces": re.compile(r"\{\{\{?[#/^>&!]?\s*[A-Za-z_][^{}\n]*?\}?\}\}"),
+    "block": re.compile(r"\{%-?\s*[a-z]+\b[^%\n]*?-?%\}"),
+    "dollar": re.compile(r"\$\{\s*" + NAME + r"[^{}\n]*\}"),
+    "hash": re.compile(r"#\{\s*" + NAME + r"[^{}\n]*\}"),
+    "angle": re.compile(r"<%[=\-#]?\s*[A-Za-z_@][^%\n]*%>|<\?(?:php|=)[^?\n]*\?>"),
     "percent": re.compile(r"%%" + NAME + r"%%|%[A-Z][A-Z0-9]*_[A-Z0-9_]+%|%\(" + NAME + r"\)[sdrf]"),
     "wiki": re.compile(r"\[\[\s*[a-z_]+[._][\w.]+\s*\]\]"),
     "at": re.compile(r"@@?[A-Z][A-Z0-9]*_[A-Z0-9_]*@@?|@@" + NAME + r"@@"),
@@ -41,11 +42,11 @@ PLACEHOLDERS = {
     "under": re.compile(r"(?<![\w])__[A-Z][A-Z0-9_]{2,}__(?![\w])"),
     "brace": re.compile(r"(?<![\w${#%])\{(?:\d{1,2}|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[a-z]+(?:_[a-z0-9]+)+)\}(?!\})"),
     "bracket": re.compile(
-        r"\[\s*(?:INSERT|ADD|ENTER|REPLACE|PLACEHOLDER|TODO|TBD|YOUR|FILL)\b[^\]\n]{0,60}\]"
-        r"|\[\s*(?:insert|enter|add|replace|placeholder|fill in|your)\b[^\]\n]{0,60}\]"
+        r"\[\s*(?:INSERT|ADD|ENTER|REPLACE|PLACEHOLDER|TODO|TBD|YOUR|FILL)\b[^\]\n]*\]"
+        r"|\[\s*(?:insert|enter|add|replace|placeholder|fill in|your)\b[^\]\n]*\]"
         r"|\[\s*(?:Insert|Enter|Add|Replace|Placeholder|Fill in|Your|Company|Site|Author|First|Last|Product|Page)(?: [A-Za-z]+){0,3} ?(?:name|here|title|text|date|link|url|anchor)?\s*\]",
     ),
-    "chevron": re.compile(r"<(?:INSERT|YOUR|ENTER|PLACEHOLDER)[ _][A-Z_ ]{2,40}>|(?:«|<<)\s*[A-Za-z]+[_.][\w.]+\s*(?:»|>>)"),
+    "chevron": re.compile(r"<(?:INSERT|YOUR|ENTER|PLACEHOLDER)[ _][A-Z_ ]{2,}>|(?:«|<<)\s*[A-Za-z]+[_.][\w.]+\s*(?:»|>>)"),
     "object": re.compile(r"\[object [A-Z]\w+\]"),
     "printf": re.compile(r"(?<!\w)%(?:\d\$)?[sd](?!\w)"),
 }
@@ -89,7 +90,7 @@ _ERRORS = (
     r"too many requests\W.{0,80}", r"(?:slow down|try again later)\W*.{0,40}", r"rate limit exceeded\W*.{0,60}",
     r"could not connect to (?:the )?(?:database|server)\b.{0,60}", r"(?:error establishing a |no )?database connection\b.{0,40}", r"error code \d+\W*",
     r"(?:fatal error|parse error|syntax error|warning|notice|deprecated)\s*: .{0,100}\b(?:line \d+|\.php\b|function|undefined|unexpected|null)\b.{0,80}",
-    r"(?:uncaught )?(?:\w+\.)*[A-Z]\w*(?:error|exception)\s*: .{1,160}", r"traceback \(most recent call last\)\W*", r"(?:exception in thread|stack trace)\b.{0,120}", r"segmentation fault\b.{0,40}",
+    r"(?:uncaught )?(?:\w+\.)*[A-Z]\w*(?:error|exception)\s*: .+", r"traceback \(most recent call last\)\W*", r"(?:exception in thread|stack trace)\b.{0,120}", r"segmentation fault\b.{0,40}",
     r"your session (?:has )?(?:expired|timed out)\b.{0,60}", r"(?:please )?(?:log|sign) ?in (?:again|to continue)\W*", r"(?:the )?(?:site|page) is (?:down for maintenance|temporarily unavailable|offline)\b.{0,60}",
     r"(?:die |diese )?(?:angeforderte )?seite (?:wurde |konnte |existiert |ist )?(?:leider )?nicht (?:gefunden|vorhanden|verfügbar|mehr)\b.{0,60}", r"zugriff verweigert\W*.{0,60}", r"(?:interner )?serverfehler\W*.{0,60}", r"dienst nicht verfügbar\W*.{0,40}",
     r"(?:cette )?page (?:est )?(?:introuvable|non trouvée|inexistante)\b.{0,60}", r"(?:la )?page demandée\b.{0,80}", r"accès (?:refusé|interdit)\W*.{0,60}", r"erreur (?:interne )?(?:du )?serveur\W*.{0,60}", r"service (?:temporairement )?indisponible\W*.{0,40}",
@@ -113,7 +114,22 @@ _NOTICES = (
     r"(?:schakel|zet|activeer)\b.{0,12}\bjava ?script\b.{0,80}", r"(?:deze|dit) (?:pagina|site|website|toepassing)\b.{0,30}\b(?:vereist|heeft)\b.{0,20}\bjava ?script\b.{0,60}",
 )
 SERVED = re.compile(r"\s*[\[(*#>\-•| ]*(?:(?:" + "|".join(_ERRORS) + r")|(?:" + "|".join(_NOTICES) + r"))\s*$", re.I)
-STARTS = re.compile(r"\s*(?:(?:" + "|".join(_ERRORS) + r")|(?:" + "|".join(_NOTICES) + r"))", re.I)
+
+#: Text next to a placeholder that tells what it is: before it, or after it.
+_BEFORE = re.compile(
+    r"\b(?:placeholders?|variables?|syntax|expressions?|delimiters?|markers?|macros?|tokens?|set|export|echo|write|type|e\.g\.|such as|named|called|"
+    r"platzhalter|variable|ausdruck|schreibe|variables?|expression|écrivez|marcador|variable|escriba|marcador|variável|escreva|segnaposto|variabile|scrivi|plaatshouder|variabele|schrijf)"
+    r"\s*:?\s*(?:a |an |the |der |die |le |la |el |o |il |de |het )?$", re.I
+)
+_AFTER = re.compile(
+    r"^\W{0,3}(?:(?:is|are|gets?|will be|wird|est|es|è|é|wordt) (?:replaced|filled|substituted|expanded|rendered|ersetzt|remplacée?|sustituid[oa]|substituíd[oa]|sostituit[oa]|vervangen)|stands for|expands|renders|"
+    r"syntax|placeholder|variable|expression|notation|before running)\b", re.I
+)
+#: Words that make a line a heading or sentence about a message, not the message.
+ABOUT = re.compile(
+    r"\b(?:what (?:it|they|this|that) means?|how (?:to|we|i)\b|explained|lessons?|guide to|tips|why|causes?|examples? of|in this (?:article|post|guide|chapter)|(?:is|was|are|were) (?:the|a|an|what|when)\b|"
+    r"dates (?:from|back)|comes from|bedeutet|was .{1,20} bedeutet|signifie|significa|betekent|expliqué|explicado|spiegato|uitgelegd|erklärt)", re.I
+)
 
 #: Filler that no sentence uses, wherever it stands.
 GIBBERISH = re.compile(r"\blorem ipsum (?:dolor|sit)|\b(?:asdf|qwer|zxcv)\w*(?:[\s,.]+(?:asdf|qwer|zxcv|test)\w*){2,}", re.I)
@@ -137,8 +153,8 @@ def findings(text: str | None) -> list[tuple[str, str]]:
     if not text:
         return []
     visible = blank_code(unicodedata.normalize("NFC", text))
-    out = [("placeholder", m.group()) for p in PLACEHOLDERS.values() for m in p.finditer(visible)]
-    out += [("filler", m.group()) for m in GIBBERISH.finditer(visible)]
+    out = [("placeholder", p) for p in unfilled(visible)]
+    out += [("filler", m.group()) for m in GIBBERISH.finditer(visible) if not ABOUT.search(_sentence(visible, m.end()))]
     for line in visible.split("\n"):
         if not line.strip() or LOG.match(line):
             continue
@@ -150,7 +166,7 @@ def findings(text: str | None) -> list[tuple[str, str]]:
         parts = SENTENCE.split(bare.strip())
         # ... or begins with one that is no part of a longer tale.
         for k, part in enumerate(parts):
-            if FILLER.fullmatch(part) or (FILLER.match(part) and len(part.split()) <= 9):
+            if FILLER.fullmatch(part) and not ABOUT.search(part):
                 out.append(("filler", part))
             elif SERVED.fullmatch(part) and _telling(part):
                 out.append(("served", part))
@@ -164,21 +180,40 @@ TALE = re.compile(
 
 
 def _telling(part: str) -> bool:
-    """Whether nothing marks the sentence as a tale about other pages."""
-    return not TALE.search(part)
+    """Whether nothing marks the sentence as a tale about other pages, or about the message itself."""
+    return not TALE.search(part) and not ABOUT.search(part)
+
+
+def _sentence(text: str, at: int) -> str:
+    """The rest of the sentence from a place on."""
+    end = re.search(r"[.!?…](?:\s|$)|\n|\Z", text[at:])
+    return text[at : at + end.start()]
+
+
+def unfilled(visible: str) -> list[str]:
+    """The placeholders of a text whose code is blanked, less those of a tutorial.
+
+    Context: a placeholder is explained if the words next to it say what it is.
+    Density: where explained ones are at least half of all, the text is about
+    templates and none counts; else the explained ones alone fall out.
+    """
+    hits = [m for p in PLACEHOLDERS.values() for m in p.finditer(visible)]
+    if not hits:
+        return []
+    told = [bool(_BEFORE.search(visible[max(0, m.start() - 60) : m.start()]) or _AFTER.search(visible[m.end() : m.end() + 60])) for m in hits]
+    return [] if 2 * sum(told) >= len(hits) else [m.group() for m, t in zip(hits, told) if not t]
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([("kind", pa.string()), ("passage", pa.string())])
-    schema = pa.schema([("_id", pa.int64()), ("findings", pa.list_(kind))])
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("passage", pa.string())]))
     for b in batches:
-        ids, out = [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        at, out = [], []
+        for i, t in enumerate(b.column(1).to_pylist()):
             found = findings(t)
             if found:
-                ids.append(i)
+                at.append(i)
                 out.append([{"kind": k, "passage": p[:200]} for k, p in found[:20]])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, schema.field(1).type)], schema=schema)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(out, kind)], names=["_id", "findings"])
 
 
 def residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,8 +223,8 @@ def residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     keys come out once per row. ``findings`` shows at most 20 passages of at
     most 200 characters; whether a document is a case never depends on that.
     """
-    near = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t")).where("_t != ''")
-    return near.mapInArrow(_run, "_id long, findings array<struct<kind:string,passage:string>>").withColumnRenamed("_id", key)
+    near = docs.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where("_t != ''")
+    return near.mapInArrow(_run, f"_id {near.schema['_id'].dataType.simpleString()}, findings array<struct<kind:string,passage:string>>").withColumnRenamed("_id", key)
 
 
 def without_residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

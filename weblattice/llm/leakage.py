@@ -55,9 +55,11 @@ def leaked_items(
     """
     it = items.select(F.col(item_key).alias("_i"), tokens(F.col(item_text)).alias("_iw")).where(F.size("_iw") >= width)
     spread = width - k
-    windows = it.select("_i", "_iw", F.explode(F.sequence(F.lit(0), F.size("_iw") - width)).alias("start")).select(
-        "_i", "start", _spelt(F.slice("_iw", F.col("start") + 1, width)).alias("passage"),
-        F.posexplode(F.array(*[_hash(F.col("_iw"), F.col("start") + j, k) for j in range(spread + 1)])).alias("offset", "h"),
+    cut = it.select("_i", F.explode(F.transform(F.sequence(F.lit(1), F.size("_iw") - width + 1), lambda at: F.slice("_iw", at, width))).alias("w"))
+    owners = cut.select("_i", _spelt(F.col("w")).alias("passage")).distinct()
+    # Equal passages, of one item or several, are one window.
+    windows = cut.select("w").distinct().select(
+        _spelt(F.col("w")).alias("passage"), F.posexplode(F.array(*[_hash(F.col("w"), F.lit(j), k) for j in range(spread + 1)])).alias("offset", "h")
     )
     total = it.agg(F.sum(F.size("_iw") - width + 1)).first()[0] or 0
 
@@ -72,13 +74,14 @@ def leaked_items(
     hits = checkpointed(found.select("_d", "h", before.alias("before"), F.slice("_w", F.col("pos") - before + 1, before + k + spread).alias("near")))
 
     rarity = hits.groupBy("h", "_d").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    by_window = Window.partitionBy("_i", "start")
+    by_window = Window.partitionBy("passage")
     # A shingle of no document drops out of the join, and its windows with it: they can't leak.
     prefix = (
         windows.join(sized(rarity), "h").withColumn("whole", F.count(F.lit(1)).over(by_window))
         .withColumn("rank", F.row_number().over(by_window.orderBy("df", "h", "offset")))
-        .where((F.col("rank") == 1) & (F.col("whole") == spread + 1)).select("_i", "offset", "h", "passage").distinct()
+        .where((F.col("rank") == 1) & (F.col("whole") == spread + 1)).select("offset", "h", "passage")
     )
     bounded = hits.join(sized(prefix), "h").where((F.col("before") >= F.col("offset")) & (F.size("near") - F.col("before") + F.col("offset") >= width))
     exact = bounded.where(_spelt(F.slice("near", F.col("before") - F.col("offset") + 1, width)) == F.col("passage"))
-    return exact.select(F.col("_d").alias(doc_key), F.col("_i").alias(item_key)).distinct()
+    leaks = exact.select("_d", "passage").distinct().join(sized(owners), "passage")
+    return leaks.select(F.col("_d").alias(doc_key), F.col("_i").alias(item_key)).distinct()

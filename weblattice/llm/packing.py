@@ -134,8 +134,10 @@ def packed(
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0]) if len(pdf) else 0
-        keys, sizes = pdf["k"].array, pdf["n_tokens"].to_numpy()
         by_key = pd.factorize(pdf["k"], sort=True)[0]  # null keys, if any, come first
+        order = np.lexsort((pdf["n_tokens"], by_key))  # rows arrive in any order
+        pdf, by_key = pdf.iloc[order], by_key[order]
+        keys, sizes = pdf["k"].array, pdf["n_tokens"].to_numpy()
         full = sizes // capacity
         full = np.where(sizes == capacity, 0, full)
         rest = sizes - full * capacity

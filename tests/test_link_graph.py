@@ -6,22 +6,21 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from weblattice.session import local_session
 
 A, B, C, D, E = (f"https://a.test/{x}" for x in ("", "b", "c", "d", "e"))
 
 
 @pytest.fixture(scope="module")
-def site(tmp_path_factory):
-    spark, d = local_session(2), str(tmp_path_factory.mktemp("site"))
+def site(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("site"))
     spark.createDataFrame([(1, "https://a.test/"), (2, "https://z.test")], "id long, root_url string").write.parquet(f"{d}/runs.parquet")
     pages = [(1, 10, "https://a.test/"), (1, 11, "HTTPS://A.test:443/b/?utm_source=x#top"), (1, 12, "https://a.test/c"), (1, 13, "https://a.test/c?x=1"), (1, 14, "https://a.test/d"), (1, 15, None)]
-    spark.createDataFrame(pages, "run_id long, fetch_id long, url string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(100 + p[1], *p) for p in pages], "id long, run_id long, fetch_id long, url string").write.parquet(f"{d}/pages.parquet")
     links = [
         (1, 1, 10, "https://a.test/b"), (1, 1, 10, "https://a.test/b"), (2, 1, 10, "https://a.test/b/"), (3, 1, 11, "https://a.test/c"), (4, 1, 12, "https://a.test/"),
         (5, 1, 13, "https://a.test/d"), (6, 1, 12, "https://a.test/./c"), (7, 1, 12, "https://a.test/%65"), (8, 1, 12, "https://other.test/"), (9, 1, 12, "mailto:x@a.test"), (10, 1, 12, None), (11, 1, 99, "https://a.test/d"),
     ]
-    spark.createDataFrame(links, "id long, run_id long, source_fetch_id long, resolved_url string").write.parquet(f"{d}/link_observations.parquet")
+    spark.createDataFrame([(*x, None, None, "main", None, 0) for x in links], "id long, run_id long, source_fetch_id long, resolved_url string, anchor_text string, rel string, dom_region string, template_signature string, position_index int").write.parquet(f"{d}/link_observations.parquet")
     return spark, d
 
 

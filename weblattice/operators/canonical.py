@@ -65,5 +65,6 @@ def follow_canonicals(nodes: DataFrame, canonicals: DataFrame, fetched: DataFram
             F.when(F.col("end").isNotNull(), F.col("end")).when(F.col("_d").isNull(), last).when(F.array_contains("path", F.col("_d")), F.col("_d"))
             .when(F.size("path") > max_hops, F.col("node"))
         )
-        state = j.select("run_id", "node", F.when(F.col("_d").isNotNull(), F.array_append("path", F.col("_d"))).otherwise(F.col("path")).alias("path"), end.alias("end"))
+        # Written per hop: else the next join would spell out the whole walk so far.
+        state = checkpointed(j.select("run_id", "node", F.when(F.col("_d").isNotNull(), F.array_append("path", F.col("_d"))).otherwise(F.col("path")).alias("path"), end.alias("end")))
     return state.select("run_id", "node", F.coalesce("end", "node").alias("canonical"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from weblattice.functions.stemming import stem
 from weblattice.functions.text import lower_nfc, words
 
 
@@ -45,23 +51,51 @@ def tfidf(terms: DataFrame, df: DataFrame, sizes: DataFrame, group: str) -> Data
     return terms.join(weights, [group, "term"]).withColumn("weight", F.col("tf") * F.col("idf")).drop("idf")
 
 
-def ref(donors: DataFrame, targets: DataFrame, on: list[str], donor: str, target: str, weight: Column, epsilon: float = 0.2, k: int = 10) -> DataFrame:
-    """REF(u, v): the share of v's weight on terms that u holds, where above ``epsilon``.
+#: A share of a target's weight that must certainly stay below the threshold, sums of doubles being inexact.
+_SAFE = 1 - 1e-9
+
 
-    ``donors`` has the join columns and ``donor``, a set of terms per donor;
-    ``targets`` has them, ``target`` and its terms' weights. An equi-join on
-    terms walks posting lists; pairs without a common term never arise. Adds
-    rho (REF over the donor's sum) and the number of matched terms.
+def matched_terms(donors: DataFrame, targets: DataFrame, group: list[str], epsilon: float = 0.2) -> DataFrame:
+    """(group, src, dst, term, w) of each pair whose REF may exceed ``epsilon``: the terms of dst that src holds.
+
+    ``donors`` is (group, src, term), a set of terms per donor; ``targets`` is
+    (group, dst, term, w), one row per term. A target's most common terms that
+    together weigh at most ``epsilon`` of its total can't lift a pair over the
+    threshold by themselves, so only the others, rarer ones are joined to find
+    pairs; what a pair gains from the common ones is bounded by their weight,
+    and they are joined for the pairs that remain. Posting lists of the
+    commonest terms, which would pair nearly all pages, are thus never walked.
+    """
+    held = donors.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("held"))
+    known = targets.join(held, [*group, "term"], "left")
+    commonest = Window.partitionBy(*group, "dst").orderBy(F.desc_nulls_last("held"), "term")
+    whole = Window.partitionBy(*group, "dst")
+    marked = known.withColumn("total", F.sum("w").over(whole)).withColumn("skip", F.sum("w").over(commonest.rowsBetween(Window.unboundedPreceding, 0)) <= epsilon * _SAFE * F.col("total"))
+    marked = marked.withColumn("slack", F.sum(F.when(F.col("skip"), F.col("w")).otherwise(0.0)).over(whole)).where("total > 0 and held is not null").drop("held")
+    rare = donors.join(marked.where("not skip"), [*group, "term"]).where("src != dst")
+    near = rare.groupBy(*group, "src", "dst").agg(F.sum("w").alias("m"), F.max("slack").alias("slack"), F.max("total").alias("total"))
+    pairs = near.where((F.col("m") + F.col("slack")) > epsilon * _SAFE * F.col("total")).select(*group, "src", "dst")
+    asked = pairs.join(marked.select(*group, "dst", "term", "w"), [*group, "dst"])
+    return asked.join(donors.select(*group, "src", "term"), [*group, "src", "term"], "left_semi")
+
+
+def ref(matched: DataFrame, totals: DataFrame, group: list[str], epsilon: float = 0.2) -> DataFrame:
+    """(group, src, dst, ref, rho, matched_count) of pairs above ``epsilon``.
+
+    REF is the share of dst's weight on terms that src holds; rho is REF over
+    the sum of the source's. ``totals`` is (group, dst, total).
     """
-    group = [c for c in on if c != "term"]
-    weighted = targets.withColumn("_w", weight)
-    total = weighted.groupBy(*group, target).agg(F.sum("_w").alias("_total"))
-    matched = donors.select(*on, donor).distinct().join(weighted.select(*on, target, "_w"), on)
-    pairs = matched.where(F.col(donor) != F.col(target)) if donors.schema[donor].dataType == targets.schema[target].dataType and donor != target else matched
-    sums = pairs.groupBy(*group, donor, target).agg(F.sum("_w").alias("_m"), F.count(F.lit(1)).alias("matched_count"))
-    kept = sums.join(total, [*group, target]).where("_total > 0").withColumn("ref", F.col("_m") / F.col("_total")).where(F.col("ref") > epsilon)
-    row = Window.partitionBy(*group, donor)
-    return kept.withColumn("rho", F.col("ref") / F.sum("ref").over(row)).select(*group, donor, target, "ref", "rho", "matched_count")
+    sums = matched.groupBy(*group, "src", "dst").agg(F.sum("w").alias("_m"), F.count(F.lit(1)).alias("matched_count"))
+    kept = sums.join(totals, [*group, "dst"]).withColumn("ref", F.col("_m") / F.col("total")).where(F.col("ref") > epsilon)
+    per = kept.groupBy(*group, "src").agg(F.sum("ref").alias("_s"))
+    return kept.join(per, [*group, "src"]).select(*group, "src", "dst", "ref", (F.col("ref") / F.col("_s")).alias("rho"), "matched_count")
+
+
+def top_terms(matched: DataFrame, totals: DataFrame, group: list[str], k: int = 10) -> DataFrame:
+    """(group, src, dst, rank, term, contribution): the terms that carry a pair, the heaviest first."""
+    w = Window.partitionBy(*group, "src", "dst").orderBy(F.desc(F.round("w", 9)), "term")
+    ranked = matched.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.join(totals, [*group, "dst"]).select(*group, "src", "dst", "rank", "term", (F.col("w") / F.col("total")).alias("contribution"))
 
 
 def set_jaccard(a: Column, b: Column, empty: float) -> Column:
@@ -79,7 +113,7 @@ def cosine_neighbours(vectors: DataFrame, queries: DataFrame, key: str, vector:
     unit = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("neighbour"), F.col(vector).alias("_v"), unit(F.col(vector)).alias("_n"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).alias("_q"), unit(F.col(vector)).alias("_m"))
-    asked = asked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    asked = asked.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     dot = F.aggregate(F.zip_with("_q", "_v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     pairs = rows.join(asked, "_b").where("query != neighbour and _n > 0 and _m > 0").select("query", "neighbour", "_b", F.round(dot / (F.col("_n") * F.col("_m")), 6).alias("cosine"))
     order = [F.desc("cosine"), F.asc("neighbour")]
@@ -101,14 +135,53 @@ def minhash(terms: Column, permutations: int = 64) -> Column:
     return F.array(*[F.array_min(F.transform(terms, lambda t, s=s: F.xxhash64(t, F.lit(s)))) for s in range(permutations)])
 
 
-def lsh_candidates(sets: DataFrame, group: str, key: str, terms: str, rows: int = 4, permutations: int = 64, salts: int = 8) -> DataFrame:
-    """(group, a, b) pairs of sets that agree on at least one band of their signatures.
+def signature_classes(sets: DataFrame, group: str, key: str, terms: str, permutations: int = 64) -> DataFrame:
+    """(group, key, class, signature): sets with equal signatures are one class, named by its smallest key."""
+    signed = sets.select(group, F.col(key).alias("_k"), minhash(F.col(terms), permutations).alias("signature"))
+    classes = signed.groupBy(group, "signature").agg(F.min("_k").alias("class"))
+    members = signed.join(classes, [group, "signature"])
+    return members.select(group, F.col("_k").alias(key), "class", "signature")
+
+
+def lsh_candidates(classes: DataFrame, group: str, rows: int = 4, permutations: int = 64) -> DataFrame:
+    """(group, a, b) pairs of classes that agree on at least one band of their signatures.
 
-    Sets with equal signatures are one class, represented by the smallest key,
-    so groups of copies never multiply; the classes meet in the band join.
+    ``classes`` comes from :func:`signature_classes`, which gives the members;
+    groups of copies meet once, as their class.
     """
-    signed = sets.select(group, F.col(key).alias("_k"), minhash(F.col(terms), permutations).alias("_s"))
-    classes = signed.groupBy(group, "_s").agg(F.min("_k").alias("_k"))
+    classes = classes.select(group, F.col("class").alias("_k"), F.col("signature").alias("_s")).distinct()
     bands = classes.select(group, "_k", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(permutations // rows - 1)), lambda b: F.xxhash64(F.slice("_s", b * rows + 1, rows)))).alias("band", "code"))
     a, b = bands.withColumnRenamed("_k", "a"), bands.withColumnRenamed("_k", "b")
     return a.join(b, [group, "band", "code"]).where("a < b").select(group, "a", "b").distinct()
+
+
+def ngrams(terms: Column, n: int) -> Column:
+    """Runs of ``n`` neighbouring terms of an array, parted by blanks; none where it is shorter."""
+    grams = F.transform(F.sequence(F.lit(1), F.size(terms) - n + 1), lambda i: F.array_join(F.slice(terms, i, n), " "))
+    return F.when(F.size(terms) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+
+@F.pandas_udf(StringType())
+def _stem_udf(words_: pd.Series) -> pd.Series:
+    seen: dict = {}
+    return words_.map(lambda w: None if w is None else seen[w] if w in seen else seen.setdefault(w, stem(w)))
+
+
+def surface_forms(counts: DataFrame, group: str) -> DataFrame:
+    """(group, stem, word, n): per stem the word met most often, then the shorter, then the smaller; ``counts`` is (group, word, n)."""
+    stemmed = counts.withColumn("stem", _stem_udf("word"))
+    best = F.min_by(F.struct("word", "n"), F.struct((-F.col("n")).alias("a"), F.length("word").alias("b"), F.col("word").alias("c")))
+    return stemmed.groupBy(group, "stem").agg(best.alias("_b")).select(group, "stem", "_b.word", "_b.n")
+
+
+def word_phrases(text: str | None, least: int = 2, stop: frozenset[str] = frozenset()) -> list[list[tuple[str, str]]]:
+    """Phrases of (stem, word): NFKC, lower case, inner apostrophes gone, parted at punctuation; numbers, stop and short words drop out."""
+    if not text:
+        return []
+    folded = re.sub(r"(?<=\w)['’](?=\w)", "", unicodedata.normalize("NFKC", text).lower())
+    out = []
+    for phrase in re.split(r"[^\w\s\-]+|\n", folded):
+        found = [w for w in re.findall(r"[^\W_]+", phrase) if not w.isnumeric() and len(w) >= least and w not in stop]
+        if found:
+            out.append([(stem(w), w) for w in found])
+    return out

@@ -120,7 +120,7 @@ def canonical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "pages").where("url is not null and meta_canonical is not null").select("run_id", "url", resolve(F.coalesce("base_href", "url"), F.col("meta_canonical")).alias("canonical"))
     # Written between the steps: else each canonical form would spell out the resolution again.
     src = checkpointed(with_forms(rows).select("run_id", "canonical", F.col("p3").alias("src")))
-    return with_forms(src, "canonical").select("run_id", "src", F.col("p3").alias("dst"))
+    return checkpointed(with_forms(src, "canonical").select("run_id", "src", F.col("p3").alias("dst")))
 
 
 def op14_canonical_p5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,8 +81,10 @@ def site(spark: SparkSession, sf_dir: str) -> Site:
 _PARTS = r"^(?:([^:/?#]+):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
 FORMS = rf"""WITH RECURSIVE urls AS (
   SELECT url FROM pages UNION SELECT resolved_url FROM link_observations UNION SELECT root_url FROM runs UNION SELECT meta_canonical FROM pages),
-u0 AS (SELECT url, lower(regexp_extract(url, '{_PARTS}', 1)) AS s, regexp_replace(lower(regexp_extract(url, '{_PARTS}', 2)), ':$', '') AS a,
-  regexp_extract(url, '{_PARTS}', 3) AS p, regexp_extract(url, '{_PARTS}', 4) AS q, regexp_extract(url, '{_PARTS}', 5) AS f FROM urls WHERE url IS NOT NULL),
+ux AS (SELECT url, CASE WHEN regexp_full_match(url, '[-A-Za-z0-9._~:/?#@!$&()*+,;=%\[\]]*') THEN url
+  ELSE array_to_string(list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_full_match(c, '[-A-Za-z0-9._~:/?#@!$&()*+,;=%\[\]]') OR c = chr(39) THEN c ELSE url_encode(c) END), '') END AS e FROM urls WHERE url IS NOT NULL),
+u0 AS (SELECT url, lower(regexp_extract(e, '{_PARTS}', 1)) AS s, regexp_replace(lower(regexp_extract(e, '{_PARTS}', 2)), ':$', '') AS a,
+  regexp_extract(e, '{_PARTS}', 3) AS p, regexp_extract(e, '{_PARTS}', 4) AS q, regexp_extract(e, '{_PARTS}', 5) AS f FROM ux),
 u1 AS (SELECT url, s, CASE s WHEN 'http' THEN regexp_replace(a, ':80$', '') WHEN 'https' THEN regexp_replace(a, ':443$', '') ELSE a END AS a,
   CASE WHEN p = '' AND s IN ('http', 'https') THEN '/' ELSE p END AS p, q, f FROM u0),
 u2 AS (SELECT *, CASE WHEN length(p) > 1 THEN coalesce(nullif(regexp_replace(p, '/+$', ''), ''), '/') ELSE p END AS sp,

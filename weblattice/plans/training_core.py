@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblattice.operators.pivot import attributes_of, filled_cells, wide_table
+from weblattice.plans.oracle_records import RECORDS
 from weblattice.session import load
 from weblattice.sources.records import parse_records, recovered_records
 
@@ -85,4 +86,8 @@ best AS (
 SELECT export_name, run_id, policy, name AS metric, CAST(round(x * 1000000) AS BIGINT) AS value_e6 FROM best WHERE rn = 1
 """
 
-ORACLES: dict[str, str] = {"p2_found": _P2}
+ORACLES: dict[str, str] = {
+    "p2_found": _P2,
+    "p4_found": "WITH " + RECORDS + "SELECT record_id, reason FROM judged WHERE reason IN ('quoting', 'columns', 'value')",
+    "p4_loaded": "WITH " + RECORDS + "SELECT * FROM loaded",
+}

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from weblattice.functions.stemming import stem
 from weblattice.functions.text import lower_nfc, words
+from weblattice.session import checkpointed
 
 
 def term_table(rows: DataFrame, group: str, key: str, text: str, min_length: int = 2) -> DataFrame:
@@ -55,47 +56,59 @@ def tfidf(terms: DataFrame, df: DataFrame, sizes: DataFrame, group: str) -> Data
 _SAFE = 1 - 1e-9
 
 
-def matched_terms(donors: DataFrame, targets: DataFrame, group: list[str], epsilon: float = 0.2) -> DataFrame:
-    """(group, src, dst, term, w) of each pair whose REF may exceed ``epsilon``: the terms of dst that src holds.
-
-    ``donors`` is (group, src, term), a set of terms per donor; ``targets`` is
-    (group, dst, term, w), one row per term. A target's most common terms that
-    together weigh at most ``epsilon`` of its total can't lift a pair over the
-    threshold by themselves, so only the others, rarer ones are joined to find
-    pairs; what a pair gains from the common ones is bounded by their weight,
-    and they are joined for the pairs that remain. Posting lists of the
-    commonest terms, which would pair nearly all pages, are thus never walked.
-    """
+def _walked(donors: DataFrame, targets: DataFrame, group: list[str], epsilon: float) -> tuple[DataFrame, DataFrame]:
+    """(near, marked): pairs that may exceed ``epsilon`` with what their rarer terms give, and the targets' terms, the common ones marked ``skip``."""
     held = donors.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("held"))
     known = targets.join(held, [*group, "term"], "left")
     commonest = Window.partitionBy(*group, "dst").orderBy(F.desc_nulls_last("held"), "term")
     whole = Window.partitionBy(*group, "dst")
     marked = known.withColumn("total", F.sum("w").over(whole)).withColumn("skip", F.sum("w").over(commonest.rowsBetween(Window.unboundedPreceding, 0)) <= epsilon * _SAFE * F.col("total"))
     marked = marked.withColumn("slack", F.sum(F.when(F.col("skip"), F.col("w")).otherwise(0.0)).over(whole)).where("total > 0 and held is not null").drop("held")
+    marked = checkpointed(marked)
     rare = donors.join(marked.where("not skip"), [*group, "term"]).where("src != dst")
-    near = rare.groupBy(*group, "src", "dst").agg(F.sum("w").alias("m"), F.max("slack").alias("slack"), F.max("total").alias("total"))
-    pairs = near.where((F.col("m") + F.col("slack")) > epsilon * _SAFE * F.col("total")).select(*group, "src", "dst")
-    asked = pairs.join(marked.select(*group, "dst", "term", "w"), [*group, "dst"])
-    return asked.join(donors.select(*group, "src", "term"), [*group, "src", "term"], "left_semi")
+    near = rare.groupBy(*group, "src", "dst").agg(F.sum("w").alias("m"), F.count(F.lit(1)).alias("n"), F.max("slack").alias("slack"), F.max("total").alias("total"))
+    return near.where((F.col("m") + F.col("slack")) > epsilon * _SAFE * F.col("total")), marked
 
 
-def ref(matched: DataFrame, totals: DataFrame, group: list[str], epsilon: float = 0.2) -> DataFrame:
+def ref(donors: DataFrame, targets: DataFrame, group: list[str], epsilon: float = 0.2) -> DataFrame:
     """(group, src, dst, ref, rho, matched_count) of pairs above ``epsilon``.
 
     REF is the share of dst's weight on terms that src holds; rho is REF over
-    the sum of the source's. ``totals`` is (group, dst, total).
+    the sum of the source's. ``donors`` is (group, src, term), a set of terms
+    per donor; ``targets`` is (group, dst, term, w), one row per term; src and
+    dst should be numbers, for they travel with every common term of a pair.
+
+    A target's most common terms that together weigh at most ``epsilon`` of its
+    total can't lift a pair over the threshold by themselves, so only the
+    others, rarer ones are joined to find pairs; what a pair gains from the
+    common ones is bounded by their weight, and they are joined for the pairs
+    that remain. Posting lists of the commonest terms, which would pair nearly
+    all pages, are thus never walked.
     """
-    sums = matched.groupBy(*group, "src", "dst").agg(F.sum("w").alias("_m"), F.count(F.lit(1)).alias("matched_count"))
-    kept = sums.join(totals, [*group, "dst"]).withColumn("ref", F.col("_m") / F.col("total")).where(F.col("ref") > epsilon)
-    per = kept.groupBy(*group, "src").agg(F.sum("ref").alias("_s"))
-    return kept.join(per, [*group, "src"]).select(*group, "src", "dst", "ref", (F.col("ref") / F.col("_s")).alias("rho"), "matched_count")
+    near, marked = _walked(donors, targets, group, epsilon)
+    key = [*group, "src", "dst"]
+    common = marked.where("skip").select(*group, "dst", "term", "w")
+    # Pairs already beyond doubt gain from the common terms too: REF is exact.
+    gained = near.select(*key).join(common, [*group, "dst"]).join(donors.select(*group, "src", "term"), [*group, "src", "term"], "left_semi").groupBy(*key).agg(F.sum("w").alias("m2"), F.count(F.lit(1)).alias("n2"))
+    j = near.join(gained, key, "left")
+    kept = j.withColumn("ref", (F.col("m") + F.coalesce("m2", F.lit(0.0))) / F.col("total")).where(F.col("ref") > epsilon)
+    kept = kept.select(*key, "ref", (F.col("n") + F.coalesce("n2", F.lit(0))).alias("matched_count"))
+    per = Window.partitionBy(*group, "src")
+    return kept.withColumn("rho", F.col("ref") / F.sum("ref").over(per)).select(*key, "ref", "rho", "matched_count")
+
+
+def matched_terms(pairs: DataFrame, donors: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
+    """(group, src, dst, term, w) of given pairs: the terms of dst that src holds."""
+    asked = pairs.select(*group, "src", "dst").join(targets.select(*group, "dst", "term", "w"), [*group, "dst"])
+    return asked.join(donors.select(*group, "src", "term"), [*group, "src", "term"], "left_semi")
 
 
 def top_terms(matched: DataFrame, totals: DataFrame, group: list[str], k: int = 10) -> DataFrame:
     """(group, src, dst, rank, term, contribution): the terms that carry a pair, the heaviest first."""
-    w = Window.partitionBy(*group, "src", "dst").orderBy(F.desc(F.round("w", 9)), "term")
-    ranked = matched.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.join(totals, [*group, "dst"]).select(*group, "src", "dst", "rank", "term", (F.col("w") / F.col("total")).alias("contribution"))
+    entry = F.struct((-F.round("w", 9)).alias("o"), F.col("term"), F.col("w"))
+    lists = matched.groupBy(*group, "src", "dst").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("_t")).join(totals, [*group, "dst"])
+    rows = lists.select(*group, "src", "dst", "total", F.posexplode("_t").alias("rank", "t"))
+    return rows.select(*group, "src", "dst", (F.col("rank") + 1).alias("rank"), F.col("t.term").alias("term"), (F.col("t.w") / F.col("total")).alias("contribution"))
 
 
 def set_jaccard(a: Column, b: Column, empty: float) -> Column:

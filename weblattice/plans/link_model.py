@@ -102,9 +102,8 @@ def op46_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diagnosed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs, edges, diagnoses)."""
     s = site(spark, sf_dir)
-    _, pairs, totals = related(spark, sf_dir)
+    pairs, texts = related(spark, sf_dir)
     pairs, edges = checkpointed(pairs), checkpointed(links.prominence(factors(s)))
-    texts = pairs.select("run_id", F.col("src").alias("node")).union(totals.select("run_id", F.col("dst").alias("node"))).distinct()
     return pairs, edges, links.diagnose(pairs, edges, texts)
 
 
@@ -295,7 +294,7 @@ fates AS (SELECT ck.*, CASE WHEN NOT web THEN 'invalid-url' WHEN ck.src IS NULL
   FROM ck LEFT JOIN edges e ON e.run_id = ck.run_id AND e.src = ck.src AND e.dst = ck.dst)
 """
 _DIAG = """, dp AS (SELECT coalesce(r.run_id, e.run_id) AS run_id, coalesce(r.src, e.src) AS src, coalesce(r.dst, e.dst) AS dst, coalesce(r.ref, 0) AS ref, round(coalesce(r.rho, 0), 9) AS rho, round(coalesce(e.omega, 0), 9) AS omega, e.omega IS NOT NULL AS linked
-  FROM rhos r FULL JOIN (SELECT p.* FROM prom p WHERE (p.run_id, p.src) IN (SELECT run_id, src FROM rhos UNION SELECT run_id, dst FROM totals) AND (p.run_id, p.dst) IN (SELECT run_id, src FROM rhos UNION SELECT run_id, dst FROM totals)) e
+  FROM rhos r FULL JOIN (SELECT p.* FROM prom p WHERE (p.run_id, p.src) IN (SELECT run_id, src FROM donors UNION SELECT run_id, dst FROM totals) AND (p.run_id, p.dst) IN (SELECT run_id, src FROM donors UNION SELECT run_id, dst FROM totals)) e
     ON e.run_id = r.run_id AND e.src = r.src AND e.dst = r.dst),
 diag AS (SELECT *, CASE WHEN rho > 0.1 AND NOT linked THEN 'v4' WHEN rho > 0.1 AND omega < 0.1 THEN 'v3' WHEN rho > 0.1 THEN 'v2' WHEN linked AND omega >= 0.1 THEN 'v1' END AS case_ FROM dp)
 """

@@ -36,8 +36,8 @@ def site_of(p0_url: Column) -> Column:
 @dataclass(frozen=True)
 class Site:
     """seeds (run_id, node, site); first (run_id, node, fetch_id, pages, id), a row per crawled node; observed, a row
-    per link of a representative page: run_id, id, src, dst (null unless internal), url, anchor_text, rel, dom_region,
-    template_signature, position_index."""
+    per link of a representative page: run_id, id, doc (the page's id), src, dst (null unless internal), url,
+    anchor_text, rel, dom_region, template_signature, position_index."""
 
     seeds: DataFrame
     first: DataFrame
@@ -69,7 +69,7 @@ def site(spark: SparkSession, sf_dir: str) -> Site:
     # The same observation may be delivered twice; if the copies differ, the smaller one counts.
     seen = load(spark, sf_dir, "link_observations").groupBy("id").agg(F.min(F.struct("run_id", "source_fetch_id", *LINK)).alias("o")).select("id", "o.*")
     seen = with_forms(seen, "resolved_url").select("id", "run_id", F.col("source_fetch_id").alias("fetch_id"), F.col("resolved_url").alias("url"), *LINK[1:], F.col("p3"), site_of(F.col("p0")).alias("_site"))
-    mine = seen.join(first.select("run_id", "fetch_id", F.col("node").alias("src")), ["run_id", "fetch_id"])
+    mine = seen.join(first.select("run_id", "fetch_id", F.col("node").alias("src"), F.col("id").alias("doc")), ["run_id", "fetch_id"])
     sizes = load(spark, sf_dir, "link_observations").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     sited = salted_join(mine, seeds.select("run_id", "site"), ["run_id"], F.col("id"), sizes, "inner")
     observed = sited.withColumn("dst", F.when(F.col("_site") == F.col("site"), F.col("p3"))).drop("_site", "site", "p3", "fetch_id")

@@ -15,89 +15,99 @@ from weblattice.session import checkpointed, load
 RUN = ["run_id"]
 
 
-def field_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run_id, node, field, term, tf) of representative pages: title with h1, anchors of links in the content, body."""
-    s = site(spark, sf_dir)
-    pages = load(spark, sf_dir, "pages").select("id", "title", "h1", "body_text").join(s.first.select("id", "run_id", "node"), "id")
-    anchors = s.observed.where("dom_region in ('main', 'body') and anchor_text is not null").select("run_id", F.col("src").alias("node"), F.lit("links").alias("field"), F.col("anchor_text").alias("t"))
-    fields = pages.select("run_id", "node", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("t")) for f, c in (("title", "title"), ("title", "h1"), ("body", "body_text"))])).alias("x"))
-    rows = fields.select("run_id", "node", "x.field", "x.t").where("t is not null").unionByName(anchors)
-    cut = rows.select("run_id", "node", "field", F.explode(words(lower_nfc(F.col("t")))).alias("term")).where(F.length("term") >= 2)
-    return checkpointed(cut.groupBy("run_id", "node", "field", "term").agg(F.count(F.lit(1)).alias("tf")))
-
+def field_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(terms, names): (run_id, doc, field, term, tf) of representative pages, by page id, and (run_id, doc, node).
 
-def text_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(weights, donors, targets): (run_id, node, field, term, tf, weight) without boilerplate, (run_id, src, term), (run_id, dst, term, w)."""
-    terms = field_terms(spark, sf_dir)
+    The fields are title with h1, anchors of links in the content, and body.
+    """
+    s = site(spark, sf_dir)
+    names = checkpointed(s.first.select("run_id", F.col("id").alias("doc"), "node"))
+    pages = load(spark, sf_dir, "pages").select(F.col("id").alias("doc"), "title", "h1", "body_text").join(names.select("run_id", "doc"), "doc")
+    anchors = s.observed.where("dom_region in ('main', 'body') and anchor_text is not null").select("run_id", "doc", F.lit("links").alias("field"), F.col("anchor_text").alias("t"))
+    fields = pages.select("run_id", "doc", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("t")) for f, c in (("title", "title"), ("title", "h1"), ("body", "body_text"))])).alias("x"))
+    rows = fields.select("run_id", "doc", "x.field", "x.t").where("t is not null").unionByName(anchors)
+    cut = rows.select("run_id", "doc", "field", F.explode(words(lower_nfc(F.col("t")))).alias("term")).where(F.length("term") >= 2)
+    return checkpointed(cut.groupBy("run_id", "doc", "field", "term").agg(F.count(F.lit(1)).alias("tf"))), names
+
+
+def text_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(weights, donors, targets, names): (run_id, doc, field, term, tf, weight) without boilerplate, (run_id, src, term), (run_id, dst, term, w)."""
+    terms, names = field_terms(spark, sf_dir)
     df = frequencies(terms)
-    sizes = tx.collection_size(terms, "run_id", "node")
+    sizes = tx.collection_size(terms, "run_id", "doc")
     kept = df.join(tx.boilerplate_terms(df, sizes, "run_id").select("run_id", "term"), ["run_id", "term"], "left_anti")
     weights = checkpointed(tx.tfidf(terms, kept, sizes, "run_id"))
-    donors = weights.where("field in ('links', 'body')").select("run_id", F.col("node").alias("src"), "term").distinct()
-    targets = weights.where("field in ('title', 'body')").groupBy("run_id", F.col("node").alias("dst"), "term").agg(F.sum("weight").alias("w"))
-    return weights, checkpointed(donors), checkpointed(targets)
+    donors = weights.where("field in ('links', 'body')").select("run_id", F.col("doc").alias("src"), "term").distinct()
+    targets = weights.where("field in ('title', 'body')").groupBy("run_id", F.col("doc").alias("dst"), "term").agg(F.sum("weight").alias("w"))
+    return weights, checkpointed(donors), checkpointed(targets), names
 
 
 def frequencies(terms: DataFrame) -> DataFrame:
     """(run_id, term, df, cf): a page counts once, in whichever field the term stands."""
-    return terms.groupBy("run_id", "term", "node").agg(F.sum("tf").alias("tf")).groupBy("run_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return terms.groupBy("run_id", "term", "doc").agg(F.sum("tf").alias("tf")).groupBy("run_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def related(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matched, pairs, totals)."""
-    _, donors, targets = text_model(spark, sf_dir)
-    matched = checkpointed(tx.matched_terms(donors, targets, RUN))
-    totals = targets.groupBy("run_id", "dst").agg(F.sum("w").alias("total"))
-    return matched, tx.ref(matched, totals, RUN), totals
+def named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows with src and dst as nodes in place of page ids."""
+    for end in ("src", "dst"):
+        rows = rows.withColumnRenamed(end, "doc").join(names.select("doc", F.col("node").alias(end)), "doc").drop("doc")
+    return rows
+
+
+def related(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, texts): the related pairs as nodes, and (run_id, node) of pages with words."""
+    _, donors, targets, names = text_model(spark, sf_dir)
+    docs = donors.select(F.col("src").alias("doc")).union(targets.select("dst")).distinct()
+    return named(tx.ref(donors, targets, RUN), names), names.join(docs, "doc", "left_semi").select("run_id", "node")
 
 
 def op61_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequencies(field_terms(spark, sf_dir))
+    return frequencies(field_terms(spark, sf_dir)[0])
 
 
 def op62_boilerplate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = field_terms(spark, sf_dir)
-    return tx.boilerplate_terms(frequencies(terms), tx.collection_size(terms, "run_id", "node"), "run_id")
+    terms, _ = field_terms(spark, sf_dir)
+    return tx.boilerplate_terms(frequencies(terms), tx.collection_size(terms, "run_id", "doc"), "run_id")
 
 
 def op63_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_model(spark, sf_dir)[0].withColumn("weight", F.round("weight", 8))
+    weights, _, _, names = text_model(spark, sf_dir)
+    return weights.join(names, ["run_id", "doc"]).select("run_id", "node", "field", "term", "tf", F.round("weight", 8).alias("weight"))
 
 
 def op64_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = related(spark, sf_dir)[1]
+    out = related(spark, sf_dir)[0]
     return out.withColumn("ref", F.round("ref", 7)).withColumn("rho", F.round("rho", 7))
 
 
 def op65_ref_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched, pairs, totals = related(spark, sf_dir)
-    kept = matched.join(pairs.select("run_id", "src", "dst"), ["run_id", "src", "dst"], "left_semi")
-    return tx.top_terms(kept, totals, RUN, 3).withColumn("contribution", F.round("contribution", 7))
+    _, donors, targets, names = text_model(spark, sf_dir)
+    pairs = checkpointed(tx.ref(donors, targets, RUN).select("run_id", "src", "dst"))
+    totals = targets.groupBy("run_id", "dst").agg(F.sum("w").alias("total"))
+    return named(tx.top_terms(tx.matched_terms(pairs, donors, targets, RUN), totals, RUN, 3), names).withColumn("contribution", F.round("contribution", 7))
 
 
 def op66_term_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each related pair: common terms over all of the donor's and the target's; 0 if there are none."""
-    _, donors, targets = text_model(spark, sf_dir)
-    totals = targets.groupBy("run_id", "dst").agg(F.sum("w").alias("total"))
-    pairs = tx.ref(tx.matched_terms(donors, targets, RUN), totals, RUN)
+    _, donors, targets, names = text_model(spark, sf_dir)
+    pairs = tx.ref(donors, targets, RUN)
     a, b = donors.groupBy("run_id", "src").agg(F.count(F.lit(1)).alias("na")), targets.groupBy("run_id", "dst").agg(F.count(F.lit(1)).alias("nb"))
     j = pairs.join(a, ["run_id", "src"]).join(b, ["run_id", "dst"])
     union = F.col("na") + F.col("nb") - F.col("matched_count")
-    return j.select("run_id", "src", "dst", F.round(F.when(union > 0, F.col("matched_count") / union).otherwise(0.0), 9).alias("jaccard"))
+    return named(j.select("run_id", "src", "dst", F.round(F.when(union > 0, F.col("matched_count") / union).otherwise(0.0), 9).alias("jaccard")), names)
 
 
 def op67_item_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of a test item's different words that a document holds, above 0.6: unweighted containment, documents as donors."""
     def sets(table: str, key: str, name: str) -> DataFrame:
-        rows = load(spark, sf_dir, table).where("text is not null").select(F.lit(1).alias("g"), F.col(key).cast("string").alias(name), F.explode(F.array_distinct(words(lower_nfc(F.col("text"))))).alias("term"))
+        rows = load(spark, sf_dir, table).where("text is not null").select(F.lit(1).alias("g"), F.col(key).alias(name), F.explode(F.array_distinct(words(lower_nfc(F.col("text"))))).alias("term"))
         return rows.where(F.length("term") >= 2).distinct()
 
     donors = checkpointed(sets("documents", "doc_id", "src"))
     targets = sets("benchmark", "item_id", "dst").withColumn("w", F.lit(1.0))
-    donors = donors.withColumn("src", F.concat(F.lit("d"), F.col("src")))
-    totals = targets.groupBy("g", "dst").agg(F.sum("w").alias("total"))
-    out = tx.ref(tx.matched_terms(donors, targets, ["g"], 0.6), totals, ["g"], 0.6)
-    return out.select(F.substring("src", 2, 30).cast("long").alias("doc_id"), F.col("dst").cast("long").alias("item_id"), F.round("ref", 9).alias("containment"), "matched_count")
+    # Items and documents are numbered apart: no pair of the two is a text with itself.
+    out = tx.ref(donors.withColumn("src", -1 - F.col("src")), targets, ["g"], 0.6)
+    return out.select((-1 - F.col("src")).alias("doc_id"), F.col("dst").alias("item_id"), F.round("ref", 9).alias("containment"), "matched_count")
 
 
 def op68_cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,12 +123,12 @@ def op69_lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op70_lsh_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's class of equal signatures, for the pairs of op69."""
-    return _classes(spark, sf_dir).select("run_id", "node", "class")
+    return _classes(spark, sf_dir).select("run_id", "doc", "class")
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = field_terms(spark, sf_dir).groupBy("run_id", "node").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    return tx.signature_classes(sets, "run_id", "node", "terms")
+    sets = field_terms(spark, sf_dir)[0].groupBy("run_id", "doc").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    return tx.signature_classes(sets, "run_id", "doc", "terms")
 
 
 def op71_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +146,8 @@ def op72_surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op73_equi_depth_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages per run in eight parts of equal depth by their number of terms: size bounds per part."""
-    terms = field_terms(spark, sf_dir)
-    sizes = terms.select("run_id", "node", "term").distinct().groupBy("run_id", "node").agg(F.count(F.lit(1)).alias("size"))
+    terms, names = field_terms(spark, sf_dir)
+    sizes = terms.select("run_id", "doc", "term").distinct().groupBy("run_id", "doc").agg(F.count(F.lit(1)).alias("size")).join(names, ["run_id", "doc"])
     at = F.row_number().over(Window.partitionBy("run_id").orderBy("size", "node")) - 1
     n = F.count(F.lit(1)).over(Window.partitionBy("run_id"))
     # Part p holds the places from floor(p·n/k) on; its number is the largest p whose start is not past the place.

@@ -253,14 +253,17 @@ def extract(html: str | None, url: str | None) -> dict | None:
 
 
 # Types whose mainEntity is the page's own, and types that say nothing about a page.
-WRAPPERS = frozenset({"WebPage", "ItemPage", "CollectionPage", "AboutPage", "ContactPage", "FAQPage", "ProfilePage"})
-IGNORED = frozenset({"WebSite", "WebPage", "Organization", "BreadcrumbList", "ListItem", "SearchAction", "ImageObject", "Person"})
+WRAPPERS = frozenset({"WebPage", "ItemPage"})
+IGNORED = frozenset({
+    "BreadcrumbList", "ListItem", "WebSite", "WebPage", "ItemPage", "Organization", "Person", "ImageObject", "SiteNavigationElement", "WPHeader", "WPFooter", "WPSideBar", "SearchAction",
+    "EntryPoint", "PostalAddress", "ContactPoint", "Thing",
+})
 
 
 def schema_types(html: str) -> list[str]:
     """schema.org types the page names as its own, in JSON-LD roots, graphs and main entities, or in microdata that is no property."""
     out: set[str] = set()
-    name = lambda t: re.split(r"[/#:]", t)[-1]
+    name = lambda t: re.split(r"[/#:]", t.strip().rstrip("/#"))[-1]
     todo: list[tuple[object, int]] = []
     for m in re.finditer(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script>", html, re.I | re.S):
         try:

@@ -94,7 +94,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
 def power_iteration(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, damping: float = 0.85, tolerance: float = 1e-10, max_iterations: int = 1000, start: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """PageRank of one graph in memory, and the number of steps."""
     out = np.bincount(src, weights=weight, minlength=n) if len(src) else np.zeros(n)
-    share = weight / out[src] if len(src) else weight
+    share = np.divide(weight, out[src], out=np.zeros(len(src)), where=out[src] > 0) if len(src) else weight
     dangling = out == 0
     x = np.full(n, 1.0 / max(n, 1)) if start is None else start
     for k in range(1, max_iterations + 1):
@@ -340,6 +340,8 @@ def simulate(edges: DataFrame, candidates: DataFrame, seeds: DataFrame | None =
     schema = "run_id long, node string, delta_pr double, depth_before long, depth_after long" if joint else "run_id long, src string, dst string, delta_pr double, l1 double, depth_before long, depth_after long"
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _simulated(left, right, cols, damping, tolerance, joint).astype({"depth_before": "Int64", "depth_after": "Int64"})
+        out = _simulated(left, right, cols, damping, tolerance, joint)
+        texts = {c: object for c in ("src", "dst", "node") if c in cols}
+        return out.astype({"run_id": "int64", "depth_before": "Int64", "depth_after": "Int64", **{c: float for c in ("delta_pr", "l1") if c in cols}, **texts})
 
     return _with_seeds(edges, seeds).groupBy("run_id").cogroup(candidates.select("run_id", "src", "dst").groupBy("run_id")).applyInPandas(run, schema)

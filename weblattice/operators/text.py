@@ -145,15 +145,19 @@ def sigma(ref_: Column, cosine: Column, epsilon: float = 0.2, blend: float = 0.5
 
 def minhash(terms: Column, permutations: int = 64) -> Column:
     """Signature of a set of terms: per seed the smallest hash."""
-    return F.array(*[F.array_min(F.transform(terms, lambda t, s=s: F.xxhash64(t, F.lit(s)))) for s in range(permutations)])
+    def smallest(seed: int) -> Column:
+        return F.array_min(F.transform(terms, lambda t: F.xxhash64(t, F.lit(seed))))  # a second parameter would be the place in the array
+
+    return F.array(*[smallest(s) for s in range(permutations)])
 
 
 def signature_classes(sets: DataFrame, group: str, key: str, terms: str, permutations: int = 64) -> DataFrame:
-    """(group, key, class, signature): sets with equal signatures are one class, named by its smallest key."""
-    signed = sets.select(group, F.col(key).alias("_k"), minhash(F.col(terms), permutations).alias("signature"))
-    classes = signed.groupBy(group, "signature").agg(F.min("_k").alias("class"))
-    members = signed.join(classes, [group, "signature"])
-    return members.select(group, F.col("_k").alias(key), "class", "signature")
+    """(group, key, class, signature): equal sets, given in order, are one class, named by its smallest key; the signature is of the class."""
+    digest = F.sha2(F.array_join(terms, "\u0001"), 256)
+    coded = sets.select(group, F.col(key).alias("_k"), F.col(terms).alias("_t"), digest.alias("_d"))
+    classes = coded.groupBy(group, "_d").agg(F.min("_k").alias("class"), F.first("_t").alias("_t"))
+    signed = classes.select(group, "_d", "class", minhash(F.col("_t"), permutations).alias("signature"))
+    return coded.select(group, "_k", "_d").join(signed, [group, "_d"]).select(group, F.col("_k").alias(key), "class", "signature")
 
 
 def lsh_candidates(classes: DataFrame, group: str, rows: int = 4, permutations: int = 64) -> DataFrame:

@@ -77,8 +77,9 @@ def op8_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fix_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, src, dst): the explained fixes' donors and targets as P3 nodes."""
     rows = load(spark, sf_dir, "fix_explanations").where("donor is not null and target is not null").select("run_id", "donor", "target").distinct()
-    src = with_forms(rows, "donor").select("run_id", "target", F.col("p3").alias("src"))
-    return with_forms(src, "target").select("run_id", "src", F.col("p3").alias("dst")).where("src != dst").distinct()
+    src = checkpointed(with_forms(rows, "donor").select("run_id", "target", F.col("p3").alias("src")))
+    pairs = checkpointed(with_forms(src, "target").select("run_id", "src", F.col("p3").alias("dst")))
+    return pairs.where("src != dst").distinct()
 
 
 def op9_shared_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

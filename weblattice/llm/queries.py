@@ -60,6 +60,12 @@ def p7_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_blocks(load(spark, sf_dir, "pages"))
 
 
+def p7_block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many closed blocks there are per run, length and number of documents."""
+    blocks = repeated_blocks(load(spark, sf_dir, "pages"))
+    return blocks.groupBy("run_id", F.size("block").alias("lines"), "docs").agg(F.count(F.lit(1)).alias("blocks"))
+
+
 def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(load(spark, sf_dir, "pages"))
 
@@ -83,7 +89,7 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_scores": p3_scores,
     "p5_found": p5_found, "p5_main_text": p5_main_text, "p6_found": p6_found, "p6_languages": p6_languages,
-    "p7_found": p7_found, "p7_blocks": p7_blocks, "p7_cleaned": p7_cleaned, "p8_packed": p8_packed, "p9_found": p9_found,
+    "p7_found": p7_found, "p7_blocks": p7_blocks, "p7_block_sizes": p7_block_sizes, "p7_cleaned": p7_cleaned, "p8_packed": p8_packed, "p9_found": p9_found,
     "p10_found": p10_found, "p10_kept": p10_kept,
 }
 
@@ -116,6 +122,16 @@ often AS (SELECT run_id, key FROM k WHERE key != '' GROUP BY run_id, key HAVING
 SELECT id AS page_id, field, pos::INTEGER AS pos FROM k SEMI JOIN often USING (run_id, key)
 """
 
+_BLOCKS = _LINES.split("often AS")[0] + """s AS (SELECT *, row_number() OVER (PARTITION BY id, field ORDER BY pos) AS seq FROM k WHERE key != ''),
+often AS (SELECT run_id, key FROM s GROUP BY run_id, key HAVING count(DISTINCT id) >= 8),
+g AS (SELECT *, seq - row_number() OVER (PARTITION BY id, field ORDER BY seq) AS run FROM s SEMI JOIN often USING (run_id, key)),
+r AS (SELECT id, run_id, field, run, list(key ORDER BY seq) AS ks FROM g GROUP BY id, run_id, field, run),
+w AS (SELECT DISTINCT id, run_id, ks[i : j] AS b FROM r, unnest(range(1, len(ks) + 1)) a(i), unnest(range(i, len(ks) + 1)) c(j)),
+f AS (SELECT run_id, b, count(*) AS docs FROM w GROUP BY run_id, b HAVING count(*) >= 8),
+longer AS (SELECT run_id, docs, b[2:] AS part FROM f WHERE len(b) > 1 UNION SELECT run_id, docs, b[1 : len(b) - 1] FROM f WHERE len(b) > 1)
+SELECT f.run_id, len(b)::INTEGER AS lines, f.docs, count(*) AS blocks FROM f ANTI JOIN longer ON longer.run_id = f.run_id AND longer.docs = f.docs AND longer.part = f.b GROUP BY ALL
+"""
+
 _LEAKS = r"""
 WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(nfc_normalize(text)), '[\pL\pN]+'), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\pL\pN]+') AS w FROM benchmark WHERE text IS NOT NULL),
@@ -126,6 +142,7 @@ SELECT DISTINCT doc_id, item_id FROM d JOIN g ON contains(d.t, g.passage)
 
 ORACLES: dict[str, str] = {
     "p7_found": _LINES,
+    "p7_block_sizes": _BLOCKS,
     "p9_found": _LEAKS,
     "p1_found": _TOP.format(columns="target, donor"),
     "p1_ranked": _TOP.format(columns="target, donor, s_score, rank::INTEGER AS rank"),

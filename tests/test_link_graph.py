@@ -55,3 +55,15 @@ def test_pagerank_counts_nodes_without_links(site):
     x = np.linalg.solve(np.eye(5) - 0.85 * m, np.full(5, 0.15 / 5))
     got = {r[1]: r[2] for r in rows(site, "op6_pagerank") if r[0] == 1}
     assert [got[n] for n in names] == pytest.approx(x.tolist(), abs=1e-8)
+
+
+def test_merged_nodes_keep_the_earliest_page_and_its_links(spark):
+    from weblattice.plans.site import Site, merged
+
+    seeds = spark.createDataFrame([(1, "a", "h"), (2, "a", "h")], "run_id long, node string, site string")
+    first = spark.createDataFrame([(1, "a", 10, 1, 100), (1, "b", 11, 2, 101), (1, "c", 12, 1, 102), (2, "b", 20, 1, 200)], "run_id long, node string, fetch_id long, pages long, id long")
+    observed = spark.createDataFrame([(1, 1, 100, "a", "b"), (1, 2, 101, "b", "c"), (1, 3, 102, "c", "a"), (2, 4, 200, "b", "c")], "run_id long, id long, doc long, src string, dst string")
+    canonical = spark.createDataFrame([(1, "a", "a"), (1, "b", "c"), (1, "c", "c"), (2, "b", "c")], "run_id long, node string, canonical string")
+    out = merged(Site(seeds, first, observed), canonical, spark.createDataFrame([(1,)], "run_id long"))
+    assert {tuple(r) for r in out.links().collect()} == {(1, "a", "c"), (1, "c", "c"), (2, "b", "c")}
+    assert {(r.run_id, r.node, r.pages, r.id) for r in out.first.collect()} == {(1, "a", 1, 100), (1, "c", 3, 101), (2, "b", 1, 200)}

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weblattice.functions.urls import is_utility, section
+from weblattice.functions.text import lower_nfc, words
 from weblattice.operators import audit, links
+from weblattice.operators.canonical import follow_canonicals
 from weblattice.operators.graph import bfs_depth, collapse, degrees, pagerank, scc
 from weblattice.plans.link_graph import _CANON, STEPS, UTILITY, canonical_edges, with_nodes
 from weblattice.plans.oracle_records import RECORDS
-from weblattice.plans.site import DEPTH, GRAPH, REACH, Site, rank_sql, site, site_of, with_forms
+from weblattice.plans.site import DEPTH, GRAPH, REACH, Site, merged, rank_sql, site, site_of, with_forms
 from weblattice.plans.texts import TERMS, related
 from weblattice.session import checkpointed, load
 from weblattice.sources.records import parse_records
@@ -257,10 +259,31 @@ def op83_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "run_id", F.concat(verb, F.lit(" from "), F.coalesce("donor", F.lit("?")), F.lit(" to "), F.coalesce("target", F.lit("?")), share, why).alias("text"))
 
 
+def op84_own_policy_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges of each run's graph under the policy its configuration names (P3 without one); no redirects are recorded, so P4 merges what P3 does."""
+    number = F.coalesce(F.regexp_extract(F.get_json_object("config_json", "$.policy"), r"^P([0-5])$", 1).try_cast("int"), F.lit(3))
+    s = site(spark, sf_dir, F.least(number, F.lit(3)))
+    fifth = load(spark, sf_dir, "runs").where(number == 5).select(F.col("id").alias("run_id"))
+    s = merged(s, follow_canonicals(s.first.select("run_id", "node"), canonical_edges(spark, sf_dir), s.first.select("run_id", "node")), fifth)
+    edges = collapse(s.links()).groupBy("run_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("links"))
+    return s.nodes().groupBy("run_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("crawled").alias("crawled")).join(edges, "run_id", "left").na.fill(0)
+
+
+def op85_anchor_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each explained fix the donor's paragraph that holds most of the matched terms, and the first of them there: where a link may stand."""
+    fixes = load(spark, sf_dir, "fix_explanations").select("id", "run_id", F.col("donor").alias("url"), F.array_distinct(F.transform("donor_evidence.matched", lambda m: F.lower(m["term"]))).alias("terms")).dropDuplicates(["id"])
+    pages = load(spark, sf_dir, "pages").where("size(paragraphs) > 0").select("run_id", "url", F.col("id").alias("page"), "paragraphs")
+    both = fixes.where("size(terms) > 0").join(pages, ["run_id", "url"])
+    rows = both.select("id", "page", "terms", F.posexplode("paragraphs").alias("pos", "text")).select("id", "page", "pos", "terms", words(lower_nfc(F.col("text"))).alias("w"))
+    hits = rows.withColumn("found", F.filter(F.array_distinct("w"), lambda x: F.array_contains("terms", x))).where("size(found) > 0")
+    best = hits.groupBy("id").agg(F.min_by(F.struct("page", (F.col("pos") + 1).alias("paragraph"), F.size("found").alias("terms"), F.col("found")[0].alias("anchor")), F.struct(-F.size("found"), F.col("page"), F.col("pos"))).alias("b"))
+    return best.select("id", "b.*")
+
+
 _FUNCTIONS = [
     op41_observation_factors, op42_prominence, op43_click_fates, op44_analytics_override, op45_template_reach, op46_effort, op47_four_cases, op48_structural_issues,
     op49_issue_counts, op50_link_health, op51_health_summary, op52_inventory, op53_channel_yield, op54_channel_subsets, op55_leave_one_out, op56_fix_targets, op57_candidates,
-    op58_rejections, op59_importance, op80_crawl_calibration, op81_page_changes, op82_depth_shift, op83_explanations,
+    op58_rejections, op59_importance, op80_crawl_calibration, op81_page_changes, op82_depth_shift, op83_explanations, op84_own_policy_graphs, op85_anchor_paragraphs,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FUNCTIONS}
 
@@ -338,7 +361,20 @@ cd AS (SELECT r.run_id, r.src, r.dst, round(r.ref, 7) AS ref, CASE WHEN regexp_m
     WHEN coalesce(body_links, 0) > 0 AND omega >= 0.1 THEN 'prominent-link' WHEN coalesce(body_links, 0) > 0 THEN 'make-visible' ELSE 'add-link' END AS outcome
   FROM rhos r LEFT JOIN prom p ON p.run_id = r.run_id AND p.src = r.src AND p.dst = r.dst WHERE (r.run_id, r.dst) IN (SELECT run_id, node FROM tg))
 """
+_OWN = GRAPH.replace("WITH RECURSIVE urls", "WITH RECURSIVE pol AS (SELECT id AS run_id, coalesce(TRY_CAST(regexp_extract(json_extract_string(config_json, '$.policy'), '^P([0-5])$', 1) AS INTEGER), 3) AS p FROM runs),\nurls", 1)
+_OWN = _OWN.replace("f.p3 AS node, f.site FROM runs r JOIN forms f ON f.url = r.root_url", "[f.p0, f.p1, f.p2, f.p3][least(p, 3) + 1] AS node, f.site FROM runs r JOIN forms f ON f.url = r.root_url JOIN pol ON pol.run_id = r.id")
+_OWN = _OWN.replace("SELECT p.*, f.p3 AS node FROM pages p JOIN forms f ON f.url = p.url", "SELECT p.*, [f.p0, f.p1, f.p2, f.p3][least(pol.p, 3) + 1] AS node FROM pages p JOIN forms f ON f.url = p.url JOIN pol ON pol.run_id = p.run_id")
+_OWN = _OWN.replace("THEN f.p3 END AS dst", "THEN [f.p0, f.p1, f.p2, f.p3][least(pol.p, 3) + 1] END AS dst").replace("JOIN seeds s ON s.run_id = o.run_id", "JOIN seeds s ON s.run_id = o.run_id JOIN pol ON pol.run_id = o.run_id")
 ORACLES: dict[str, str] = {
+    # No page of the tables declares another node than its own, so P5 merges nothing more; a test merges some.
+    "op84_own_policy_graphs": _OWN + """, e AS (SELECT run_id, count(*) AS edges, sum(weight)::BIGINT AS links FROM edges GROUP BY ALL)
+      SELECT run_id, count(*) AS nodes, count(*) FILTER (crawled) AS crawled, coalesce(any_value(edges), 0) AS edges, coalesce(any_value(links), 0) AS links FROM nodes LEFT JOIN e USING (run_id) GROUP BY run_id""",
+    "op85_anchor_paragraphs": """WITH f AS (SELECT DISTINCT ON (id) id, run_id, donor AS url, list_distinct(list_transform(donor_evidence.matched, lambda m: lower(m.term))) AS terms FROM fix_explanations),
+      p AS (SELECT f.id, q.id AS page, terms, unnest(q.paragraphs) AS t, generate_subscripts(q.paragraphs, 1) AS pos FROM f JOIN pages q ON q.run_id = f.run_id AND q.url = f.url WHERE len(q.paragraphs) > 0),
+      w AS (SELECT id, page, pos, terms, regexp_extract_all(lower(nfc_normalize(t)), '\\pL+') AS w FROM p WHERE t IS NOT NULL),
+      h AS (SELECT id, page, pos, len(list_distinct(list_filter(w, lambda x: list_contains(terms, x)))) AS n, list_filter(w, lambda x: list_contains(terms, x))[1] AS anchor FROM w),
+      r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, page, pos) AS i FROM h WHERE n > 0)
+      SELECT id, page, pos::INTEGER AS paragraph, n::INTEGER AS terms, anchor FROM r WHERE i = 1""".replace("\\\\", "\\"),
     "op41_observation_factors": GRAPH + LINKS + "SELECT run_id, id, region, body_rank::INTEGER AS body_rank, sitewide, round(weight, 9) AS weight FROM factors",
     "op42_prominence": GRAPH + LINKS + "SELECT run_id, src, dst, round(weight, 8) AS weight, round(omega, 8) AS omega, observations, body_links FROM prom",
     "op43_click_fates": _and_records(GRAPH) + _CLICKS + "SELECT run_id, fate, count(*) AS records, sum(clicks)::BIGINT AS clicks FROM fates GROUP BY ALL",

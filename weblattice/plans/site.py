@@ -58,22 +58,41 @@ class Site:
 LINK = ("resolved_url", "anchor_text", "rel", "dom_region", "template_signature", "position_index")
 
 
-def site(spark: SparkSession, sf_dir: str) -> Site:
-    """One pass over pages and links; the links are written once, for many queries read them several times."""
-    runs = load(spark, sf_dir, "runs").where("root_url is not null").select(F.col("id").alias("run_id"), F.col("root_url").alias("url")).distinct()
-    seeds = with_forms(runs).select("run_id", F.col("p3").alias("node"), site_of(F.col("p0")).alias("site"))
+def site(spark: SparkSession, sf_dir: str, policy: Column | None = None) -> Site:
+    """One pass over pages and links; the links are written once, for many queries read them several times.
+
+    ``policy`` is an expression over ``config_json`` that gives 0 to 3, the
+    form that names a run's nodes; without it that is P3 for every run.
+    """
+    node = F.col("p3") if policy is None else F.element_at(F.array("p0", "p1", "p2", "p3"), F.col("_policy") + 1)
+    runs = load(spark, sf_dir, "runs").where("root_url is not null").select(F.col("id").alias("run_id"), F.col("root_url").alias("url"), (F.lit(3) if policy is None else policy).alias("_policy")).distinct()
+    seeds = with_forms(runs).select("run_id", node.alias("node"), site_of(F.col("p0")).alias("site"), "_policy")
     pages = load(spark, sf_dir, "pages").where("url is not null and run_id is not null").select("id", "run_id", "fetch_id", "url")
     # One row per run; joined by shuffle when adaptive execution finds it large.
-    pages = with_forms(pages).select("id", "run_id", "fetch_id", F.col("p3").alias("node")).join(seeds.select("run_id"), "run_id", "left_semi")
+    pages = with_forms(pages).join(seeds.select("run_id", "_policy"), "run_id").select("id", "run_id", "fetch_id", node.alias("node"))
     first = pages.groupBy("run_id", "node").agg(F.min("fetch_id").alias("fetch_id"), F.count(F.lit(1)).alias("pages"), F.min_by("id", "fetch_id").alias("id"))
     # The same observation may be delivered twice; if the copies differ, the smaller one counts.
     seen = load(spark, sf_dir, "link_observations").groupBy("id").agg(F.min(F.struct("run_id", "source_fetch_id", *LINK)).alias("o")).select("id", "o.*")
-    seen = with_forms(seen, "resolved_url").select("id", "run_id", F.col("source_fetch_id").alias("fetch_id"), F.col("resolved_url").alias("url"), *LINK[1:], F.col("p3"), site_of(F.col("p0")).alias("_site"))
+    seen = with_forms(seen, "resolved_url").select("id", "run_id", F.col("source_fetch_id").alias("fetch_id"), F.col("resolved_url").alias("url"), *LINK[1:], "p0", "p1", "p2", "p3", site_of(F.col("p0")).alias("_site"))
     mine = seen.join(first.select("run_id", "fetch_id", F.col("node").alias("src"), F.col("id").alias("doc")), ["run_id", "fetch_id"])
     sizes = load(spark, sf_dir, "link_observations").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    sited = salted_join(mine, seeds.select("run_id", "site"), ["run_id"], F.col("id"), sizes, "inner")
-    observed = sited.withColumn("dst", F.when(F.col("_site") == F.col("site"), F.col("p3"))).drop("_site", "site", "p3", "fetch_id")
-    return Site(seeds, first, checkpointed(observed))
+    sited = salted_join(mine, seeds.select("run_id", "site", "_policy"), ["run_id"], F.col("id"), sizes, "inner")
+    observed = sited.withColumn("dst", F.when(F.col("_site") == F.col("site"), node)).drop("_site", "site", "_policy", "p0", "p1", "p2", "p3", "fetch_id")
+    return Site(seeds.drop("_policy"), first, checkpointed(observed))
+
+
+def merged(s: Site, canonical: DataFrame, where: DataFrame) -> Site:
+    """The site with nodes merged by ``canonical`` (run_id, node, canonical) in the runs of ``where`` (run_id): policies P4 and P5."""
+    names = checkpointed(canonical.join(where, "run_id", "left_semi").where("node != canonical").select(F.col("run_id").alias("_r"), F.col("node").alias("_n"), "canonical"))
+
+    def renamed(df: DataFrame, column: str) -> DataFrame:
+        j = df.join(names, df["run_id"].eqNullSafe(names["_r"]) & (df[column] == names["_n"]), "left")
+        return j.withColumn(column, F.coalesce("canonical", column)).drop("_r", "_n", "canonical")
+
+    pages = renamed(s.first, "node")
+    first = pages.groupBy("run_id", "node").agg(F.min("fetch_id").alias("fetch_id"), F.sum("pages").alias("pages"), F.min_by("id", "fetch_id").alias("id"))
+    links = renamed(renamed(s.observed, "dst"), "src").join(first.select(F.col("id").alias("doc")), "doc", "left_semi")
+    return Site(renamed(s.seeds, "node"), first, checkpointed(links))
 
 
 # --- the same in SQL ---------------------------------------------------------------------------

@@ -36,6 +36,12 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select(F.col("id").alias("page_id"), "term", "tf", "df", "cf", F.round("score", 9).alias("score"))
 
 
+def p3_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of each page, also those that stand once or on one page only."""
+    terms = distinctive_terms(load(spark, sf_dir, "pages"), min_df=1)
+    return terms.select(F.col("id").alias("page_id"), "term", "tf", "df", "cf", F.round("score", 9).alias("score"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture_lines(load(spark, sf_dir, "pages"), load(spark, sf_dir, "link_observations"))
 
@@ -87,7 +93,7 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_scores": p3_scores,
+    "p1_found": p1_found, "p1_ranked": p1_ranked, "p3_found": p3_found, "p3_scores": p3_scores, "p3_all_scores": p3_all_scores,
     "p5_found": p5_found, "p5_main_text": p5_main_text, "p6_found": p6_found, "p6_languages": p6_languages,
     "p7_found": p7_found, "p7_blocks": p7_blocks, "p7_block_sizes": p7_block_sizes, "p7_cleaned": p7_cleaned, "p8_packed": p8_packed, "p9_found": p9_found,
     "p10_found": p10_found, "p10_kept": p10_kept,
@@ -153,3 +159,4 @@ ORACLES: dict[str, str] = {
     * ln(((tf + 300.0::DOUBLE * (cf::DOUBLE / total)) / (len + 300.0::DOUBLE)) / (cf::DOUBLE / total)), 9) AS score
 FROM c JOIN s USING (term) JOIN l USING (id) CROSS JOIN t WHERE tf >= 2 AND df >= 2""",
 }
+ORACLES["p3_all_scores"] = ORACLES["p3_scores"].split(" WHERE tf >= 2")[0]

@@ -96,7 +96,11 @@ def diagnose(pairs: DataFrame, edges: DataFrame, texts: DataFrame, alpha: float
     e = edges.select("run_id", "src", "dst", "omega").where("src != dst")
     for end in ("src", "dst"):
         e = e.join(texts.select("run_id", F.col("node").alias(end)), ["run_id", end], "left_semi")
-    j = pairs.select("run_id", "src", "dst", "ref", "rho").join(e.withColumn("_e", F.lit(True)), ["run_id", "src", "dst"], "full_outer")
+    return cases(pairs.select("run_id", "src", "dst", "ref", "rho").join(e.withColumn("_e", F.lit(True)), ["run_id", "src", "dst"], "full_outer"), alpha)
+
+
+def cases(j: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """The diagnosis of joined pairs: (run_id, src, dst, ref, rho, omega, _e), ref and rho null where not related, omega and _e where there is no link."""
     # Sums of doubles depend on their order; rounded, a weight that is just alpha stays so.
     rho, omega, linked = F.round(F.coalesce("rho", F.lit(0.0)), 9), F.round(F.coalesce("omega", F.lit(0.0)), 9), F.coalesce("_e", F.lit(False))
     case = (

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from weblattice.functions.urls import is_utility, section
 from weblattice.functions.text import lower_nfc, words
-from weblattice.operators import audit, links
+from weblattice.operators import audit, containment, links
 from weblattice.operators.canonical import follow_canonicals
 from weblattice.operators.graph import bfs_depth, collapse, degrees, pagerank, scc
 from weblattice.plans.link_graph import _CANON, STEPS, UTILITY, canonical_edges, with_nodes
 from weblattice.plans.oracle_records import RECORDS
 from weblattice.plans.site import DEPTH, GRAPH, REACH, Site, merged, rank_sql, site, site_of, with_forms
-from weblattice.plans.texts import TERMS, related
+from weblattice.plans.texts import TERMS, run_texts
 from weblattice.session import checkpointed, load
 from weblattice.sources.records import parse_records
 
@@ -101,21 +101,23 @@ def op46_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.effort(s.observed, s.first, page_counts(s))
 
 
-def diagnosed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, edges, diagnoses)."""
-    s = site(spark, sf_dir)
-    pairs, texts = related(spark, sf_dir)
-    pairs, edges = checkpointed(pairs), checkpointed(links.prominence(factors(s)))
-    return pairs, edges, links.diagnose(pairs, edges, texts)
+def diagnosed(spark: SparkSession, sf_dir: str, s: Site) -> tuple[DataFrame, tuple[DataFrame, DataFrame], DataFrame]:
+    """(edges, (names, texts), diagnoses). Of the related pairs only those that a diagnosis may name leave their task."""
+    sources = run_texts(spark, sf_dir)
+    edges = checkpointed(links.prominence(factors(s)).select("run_id", "src", "dst", "omega", (F.col("body_links") > 0).alias("body")))
+    rows = containment.run_rows(*sources, links=edges)
+    pairs = containment.over_pairs(rows, containment.diagnosable, "src string, dst string, ref double, rho double, omega double")
+    known = pairs.withColumn("_e", F.col("omega") >= 0).withColumn("omega", F.when(F.col("_e"), F.col("omega")))
+    return edges, sources, links.cases(known)
 
 
 def op47_four_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = diagnosed(spark, sf_dir)[2]
+    out = diagnosed(spark, sf_dir, site(spark, sf_dir))[2]
     return out.select("run_id", "src", "dst", "case", F.round("severity", 6).alias("severity"))
 
 
-def op48_structural_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = site(spark, sf_dir)
+def op48_structural_issues(spark: SparkSession, sf_dir: str, s: Site | None = None) -> DataFrame:
+    s = s or site(spark, sf_dir)
     nodes, edges = graph_facts(s)
     robots = load(spark, sf_dir, "pages").select("id", "meta_robots").join(s.first.select("id", "run_id", "node"), "id").select("run_id", "node", audit.robots_tokens(F.col("meta_robots")).alias("tokens"))
     return audit.structural_issues(nodes, edges, robots, canonical_edges(spark, sf_dir), s.observed)
@@ -184,25 +186,29 @@ def fix_targets(issues: DataFrame, diagnoses: DataFrame) -> DataFrame:
 
 
 def op56_fix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fix_targets(op48_structural_issues(spark, sf_dir), diagnosed(spark, sf_dir)[2])
+    s = site(spark, sf_dir)
+    t = fix_targets(op48_structural_issues(spark, sf_dir, s), diagnosed(spark, sf_dir, s)[2])
     return t.groupBy("run_id", "node").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, edges, diagnoses = diagnosed(spark, sf_dir)
-    targets = fix_targets(op48_structural_issues(spark, sf_dir), diagnoses)
-    return audit.candidates(targets, pairs, edges, section(F.col("url")), is_utility(F.col("url"), UTILITY))
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the candidates of all runs are made from."""
+    s = site(spark, sf_dir)
+    edges, sources, diagnoses = diagnosed(spark, sf_dir, s)
+    targets = fix_targets(op48_structural_issues(spark, sf_dir, s), diagnoses).select("run_id", "node").distinct()
+    return containment.run_rows(*sources, (section(F.col("url")), is_utility(F.col("url"), UTILITY)), edges, checkpointed(targets))
 
 
 def op57_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 30 admitted donors of each target with the highest REF."""
-    ok = _candidates(spark, sf_dir).where("outcome in ('add-link', 'make-visible')").withColumn("ref", F.round("ref", 7))
+    ok = containment.over_pairs(candidate_rows(spark, sf_dir), containment.best, "src string, dst string, outcome string, ref double")
     w = Window.partitionBy("run_id", "dst").orderBy(F.desc("ref"), "src")
     return ok.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 30).select("run_id", "dst", "rank", "src", "outcome", "ref")
 
 
 def op58_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).groupBy("run_id", "outcome").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("dst").alias("targets"))
+    counts = containment.over_pairs(candidate_rows(spark, sf_dir), containment.outcomes, "dst string, outcome string, pairs bigint")
+    return counts.groupBy("run_id", "outcome").agg(F.sum("pairs").alias("pairs"), F.count_distinct("dst").alias("targets"))
 
 
 def op59_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

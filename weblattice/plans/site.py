@@ -58,22 +58,30 @@ class Site:
 LINK = ("resolved_url", "anchor_text", "rel", "dom_region", "template_signature", "position_index")
 
 
-def site(spark: SparkSession, sf_dir: str, policy: Column | None = None) -> Site:
-    """One pass over pages and links; the links are written once, for many queries read them several times.
-
-    ``policy`` is an expression over ``config_json`` that gives 0 to 3, the
-    form that names a run's nodes; without it that is P3 for every run.
-    """
+def crawled(spark: SparkSession, sf_dir: str, policy: Column | None = None) -> tuple[DataFrame, DataFrame, Column]:
+    """(seeds, first, node): those of :class:`Site`, seeds with ``_policy``, and the form that names a node."""
     node = F.col("p3") if policy is None else F.element_at(F.array("p0", "p1", "p2", "p3"), F.col("_policy") + 1)
     runs = load(spark, sf_dir, "runs").where("root_url is not null").select(F.col("id").alias("run_id"), F.col("root_url").alias("url"), (F.lit(3) if policy is None else policy).alias("_policy")).distinct()
     seeds = with_forms(runs).select("run_id", node.alias("node"), site_of(F.col("p0")).alias("site"), "_policy")
     pages = load(spark, sf_dir, "pages").where("url is not null and run_id is not null").select("id", "run_id", "fetch_id", "url")
     # One row per run; joined by shuffle when adaptive execution finds it large.
     pages = with_forms(pages).join(seeds.select("run_id", "_policy"), "run_id").select("id", "run_id", "fetch_id", node.alias("node"))
-    first = pages.groupBy("run_id", "node").agg(F.min("fetch_id").alias("fetch_id"), F.count(F.lit(1)).alias("pages"), F.min_by("id", "fetch_id").alias("id"))
-    # The same observation may be delivered twice; if the copies differ, the smaller one counts.
-    seen = load(spark, sf_dir, "link_observations").groupBy("id").agg(F.min(F.struct("run_id", "source_fetch_id", *LINK)).alias("o")).select("id", "o.*")
-    seen = with_forms(seen, "resolved_url").select("id", "run_id", F.col("source_fetch_id").alias("fetch_id"), F.col("resolved_url").alias("url"), *LINK[1:], "p0", "p1", "p2", "p3", site_of(F.col("p0")).alias("_site"))
+    return seeds, pages.groupBy("run_id", "node").agg(F.min("fetch_id").alias("fetch_id"), F.count(F.lit(1)).alias("pages"), F.min_by("id", "fetch_id").alias("id")), node
+
+
+def seen_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, run_id, source_fetch_id, then LINK): the same observation may be delivered twice; if the copies differ, the smaller one counts."""
+    return load(spark, sf_dir, "link_observations").groupBy("id").agg(F.min(F.struct("run_id", "source_fetch_id", *LINK)).alias("o")).select("id", "o.*")
+
+
+def site(spark: SparkSession, sf_dir: str, policy: Column | None = None) -> Site:
+    """One pass over pages and links; the links are written once, for many queries read them several times.
+
+    ``policy`` is an expression over ``config_json`` that gives 0 to 3, the
+    form that names a run's nodes; without it that is P3 for every run.
+    """
+    seeds, first, node = crawled(spark, sf_dir, policy)
+    seen = with_forms(seen_links(spark, sf_dir), "resolved_url").select("id", "run_id", F.col("source_fetch_id").alias("fetch_id"), F.col("resolved_url").alias("url"), *LINK[1:], "p0", "p1", "p2", "p3", site_of(F.col("p0")).alias("_site"))
     mine = seen.join(first.select("run_id", "fetch_id", F.col("node").alias("src"), F.col("id").alias("doc")), ["run_id", "fetch_id"])
     sizes = load(spark, sf_dir, "link_observations").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     sited = salted_join(mine, seeds.select("run_id", "site", "_policy"), ["run_id"], F.col("id"), sizes, "inner")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weblattice.functions.text import lower_nfc, words
-from weblattice.operators import text as tx
-from weblattice.plans.site import GRAPH, site
+from weblattice.operators import containment, text as tx
+from weblattice.plans.site import GRAPH, crawled, seen_links, site
 from weblattice.session import checkpointed, load
 
 RUN = ["run_id"]
@@ -61,6 +61,22 @@ def related(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return named(tx.ref(donors, targets, RUN), names), names.join(docs, "doc", "left_semi").select("run_id", "node")
 
 
+def run_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(names, texts): (run_id, doc, node), and (run_id, doc, field, words) as :func:`field_terms` cuts them; where links lead isn't asked."""
+    first = checkpointed(crawled(spark, sf_dir)[1].select("run_id", "fetch_id", F.col("id").alias("doc"), "node"))
+    cut = lambda c: F.coalesce(words(lower_nfc(F.col(c))), F.array().cast("array<string>"))
+    pages = load(spark, sf_dir, "pages").where("url is not null and run_id is not null")
+    fields = pages.select("run_id", F.col("id").alias("doc"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in (("title", F.concat(cut("title"), cut("h1"))), ("body", cut("body_text")))])).alias("x"))
+    seen = seen_links(spark, sf_dir).where("dom_region in ('main', 'body') and anchor_text is not null").select("run_id", F.col("source_fetch_id").alias("fetch_id"), "anchor_text")
+    anchors = seen.join(first, ["run_id", "fetch_id"]).select("run_id", "doc", F.lit("links").alias("field"), cut("anchor_text").alias("words"))
+    return first.select("run_id", "doc", "node"), fields.select("run_id", "doc", "x.*").unionByName(anchors)
+
+
+def related_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the related pairs of all runs are made from."""
+    return containment.run_rows(*run_texts(spark, sf_dir))
+
+
 def op61_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequencies(field_terms(spark, sf_dir)[0])
 

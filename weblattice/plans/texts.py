@@ -97,10 +97,7 @@ def op64_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op65_ref_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, donors, targets, names = text_model(spark, sf_dir)
-    pairs = checkpointed(tx.ref(donors, targets, RUN).select("run_id", "src", "dst"))
-    totals = targets.groupBy("run_id", "dst").agg(F.sum("w").alias("total"))
-    return named(tx.top_terms(tx.matched_terms(pairs, donors, targets, RUN), totals, RUN, 3), names).withColumn("contribution", F.round("contribution", 7))
+    return containment.over_pairs(related_rows(spark, sf_dir), containment.heaviest, "src string, dst string, rank int, term string, contribution double")
 
 
 def op66_term_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,13 +101,8 @@ def op65_ref_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op66_term_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each related pair: common terms over all of the donor's and the target's; 0 if there are none."""
-    _, donors, targets, names = text_model(spark, sf_dir)
-    pairs = tx.ref(donors, targets, RUN)
-    a, b = donors.groupBy("run_id", "src").agg(F.count(F.lit(1)).alias("na")), targets.groupBy("run_id", "dst").agg(F.count(F.lit(1)).alias("nb"))
-    j = pairs.join(a, ["run_id", "src"]).join(b, ["run_id", "dst"])
-    union = F.col("na") + F.col("nb") - F.col("matched_count")
-    return named(j.select("run_id", "src", "dst", F.round(F.when(union > 0, F.col("matched_count") / union).otherwise(0.0), 9).alias("jaccard")), names)
+    """Of each related pair: common terms over all of the donor's and the target's."""
+    return containment.over_pairs(related_rows(spark, sf_dir), containment.jaccard, "src string, dst string, jaccard double")
 
 
 def op67_item_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

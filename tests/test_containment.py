@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weblattice.operators import containment
 from weblattice.operators.links import cases
 
-QUERIES = ["op57_candidates", "op65_ref_top_terms", "op58_rejections", "op66_term_jaccard", "op47_four_cases", "op56_fix_targets"]
+QUERIES = ["op57_candidates", "op65_ref_top_terms", "op58_rejections", "op66_term_jaccard", "op47_four_cases", "op56_fix_targets", "op64_ref"]
 N, ALPHA = 60, 0.03
 node = lambda d: f"https://a.b/s{d % 3}/p{d}" + ("/cart" if d % 7 == 0 else "")
 

@@ -47,20 +47,6 @@ def frequencies(terms: DataFrame) -> DataFrame:
     return terms.groupBy("run_id", "term", "doc").agg(F.sum("tf").alias("tf")).groupBy("run_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def named(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """Rows with src and dst as nodes in place of page ids."""
-    for end in ("src", "dst"):
-        rows = rows.withColumnRenamed(end, "doc").join(names.select("doc", F.col("node").alias(end)), "doc").drop("doc")
-    return rows
-
-
-def related(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs, texts): the related pairs as nodes, and (run_id, node) of pages with words."""
-    _, donors, targets, names = text_model(spark, sf_dir)
-    docs = donors.select(F.col("src").alias("doc")).union(targets.select("dst")).distinct()
-    return named(tx.ref(donors, targets, RUN), names), names.join(docs, "doc", "left_semi").select("run_id", "node")
-
-
 def run_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(names, texts): (run_id, doc, node), and (run_id, doc, field, words) as :func:`field_terms` cuts them; where links lead isn't asked."""
     first = checkpointed(crawled(spark, sf_dir)[1].select("run_id", "fetch_id", F.col("id").alias("doc"), "node"))
@@ -92,8 +78,7 @@ def op63_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op64_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = related(spark, sf_dir)[0]
-    return out.withColumn("ref", F.round("ref", 7)).withColumn("rho", F.round("rho", 7))
+    return containment.over_pairs(related_rows(spark, sf_dir), containment.related, "src string, dst string, ref double, rho double, matched_count bigint")
 
 
 def op65_ref_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
